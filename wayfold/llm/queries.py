@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .labelled import fold
 from .mixing import mix_sources
+from .quality import quality_model, score_quality
 from .token_counts import token_counts
 from .token_output import read_token_files, write_token_files
 from .topk import topk_search
+from .toxicity import score_toxicity, toxicity_model
 from .url_filter import url_filter
 
 RULES = [
@@ -44,16 +47,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs.select("doc_id", "text"), model, threshold=0.7)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op3_mixing": op3_mixing,
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
 }
 
 from .oracle import SQL  # noqa: E402, F401
