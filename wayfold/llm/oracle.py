@@ -13,6 +13,17 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 5
 """
 
+_OP2 = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+              else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) s from w),
+n as (select doc_id, count(*) n from sh group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) i from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on r.b = l.a)
+select r.a doc_id, coalesce(max(n.n), 0)::bigint n_shingles, min(r.b) component_id from r left join n on n.doc_id = r.a group by r.a
+"""
+
 _OP3 = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
                   greatest(0.25, coalesce(pow(length(translate(text, '#$%&*|<>{}[]\^~_=+@', '')) / greatest(length(text), 1)::double, 4), 0.25)) w,
@@ -40,4 +51,4 @@ m as (select page_id, max_by(rhost || rpath, length(rhost || rpath)) rule, max_b
 select b.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') verdict from b left join m using (page_id)
 """
 
-SQL = {"op1_topk": _OP1, "op3_mixing": _OP3, "op8_url_filter": _OP8}
+SQL = {"op1_topk": _OP1, "op2_jaccard": _OP2, "op3_mixing": _OP3, "op8_url_filter": _OP8}

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import jaccard_join
 from .labelled import fold
 from .mixing import mix_sources
 from .quality import quality_model, score_quality
@@ -35,6 +36,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +71,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_jaccard": op2_jaccard,
     "op3_mixing": op3_mixing,
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
