@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import leaked_documents
 from .jaccard import jaccard_join
 from .labelled import fold
 from .mixing import mix_sources
@@ -58,6 +59,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
 }
