@@ -26,7 +26,8 @@ from tokenizers import Tokenizer
 
 from .scratch import fresh_dir, materialize
 
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+_TAIL = ".,;:!?"
 INDEX = "shard int, path string, doc_id long, local_start long, n_tokens long"
 
 
@@ -35,7 +36,8 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-_seen: dict[str, dict[str, bytes]] = {}
+#: For each vocabulary, pieces and their packed ids: the newer generation and the one before it.
+_seen: dict[str, list[dict[str, bytes]]] = {}
 
 
 class Encoder:
@@ -43,19 +45,23 @@ class Encoder:
 
     Normaliser, pre-tokeniser and special strings of a vocabulary whose pre-tokens never hold
     white space give the same ids for a text and for its pieces between ASCII blanks; other
-    vocabularies are encoded text by text.
+    vocabularies are encoded text by text.  Two generations of at most ``REMEMBERED`` pieces
+    bound the memory: a piece that is met again moves to the newer one.
     """
 
     def __init__(self, path: str):
         self.lib = _tokenizer(path)
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = _seen.setdefault(path, {})
+        self.generations = _seen.setdefault(path, [{}, {}])
         self.by_piece = self._blank_free()
+        self.by_tail = self.by_piece and all(self.ids(a + b) == self.ids(a.lower()) + self.ids(b) for a in ("The", "oneded", "Z") for b in (".", ",", "...", "?!", ".,;"))
 
     def _blank_free(self) -> bool:
         probe = ["a b", "a  b\n\tc", " x ", "it's 12 3, \n(d) e's", "\n"]
         whole = [self.ids(t) for t in probe]
-        return whole == [sum((self.ids(w) for w in t.split()), []) for t in probe]
+        alone = [sum((self.ids(w) for w in t.split()), []) for t in probe]
+        listed = [self.lib.encode(t.split(), is_pretokenized=True, add_special_tokens=False).ids for t in probe]
+        return whole == alone == listed
 
     def ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
@@ -63,15 +69,36 @@ class Encoder:
     def pack(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.generations[0]) > REMEMBERED:
+            self.generations[:] = [{}, self.generations[0]]
+        known, before = self.generations
         pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for found in pieces for w in found if w not in known})
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+        new, split = set(), []
+        for w in set().union(*pieces).difference(known):
+            if w in before:
+                known[w] = before[w]
+                continue
+            if self.by_tail and w.isascii():
+                base = w.lower().rstrip(_TAIL)
+                if base != w and base.isalpha():
+                    split.append((w, base, w[len(base) :]))
+                    new.update(x for x in split[-1][1:] if x and x not in known)
+                    continue
+            new.add(w)
+        todo = []
+        for w in new:
+            if w in before:
+                known[w] = before[w]
+            else:
+                todo.append(w)
+        for a in range(0, len(todo), 4096):
+            part = todo[a : a + 4096]
+            e = self.lib.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, self.kind).tobytes()
+            cut = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * self.kind.itemsize).tolist()
+            known.update(zip(part, map(ids.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+        for w, base, tail in split:
+            known[w] = known[base] + known[tail] if tail else known[base]
         get = known.__getitem__
         return [b"".join(map(get, found)) for found in pieces]
 
