@@ -13,6 +13,7 @@ from .jaccard import jaccard_join
 from .labelled import fold
 from .mixing import mix_sources
 from .quality import quality_model, score_quality
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 from .token_output import read_token_files, write_token_files
 from .topk import topk_search
@@ -74,6 +75,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, n=5, num=80, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_jaccard": op2_jaccard,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 from .oracle import SQL  # noqa: E402, F401
