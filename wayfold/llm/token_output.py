@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 
 from .scratch import fresh_dir, materialize
 
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _TAIL = ".,;:!?"
 INDEX = "shard int, path string, doc_id long, local_start long, n_tokens long"
 
@@ -208,9 +208,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
         uri = f"{out_dir}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.arrow"
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                ids = batch.column(0).slice(a, 512)
-                packed = encoder.pack(batch.column(1).slice(a, 512).to_pylist())
+            for a in range(0, batch.num_rows, 1024):
+                ids = batch.column(0).slice(a, 1024)
+                packed = encoder.pack(batch.column(1).slice(a, 1024).to_pylist())
                 writer = writer or ShardWriter(uri, encoder.kind, seq_len, batch_rows)
                 counts = []
                 for p in packed:
