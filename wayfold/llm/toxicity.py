@@ -156,22 +156,22 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     return fit(labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, max_train))
 
 
-def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` plus ``score`` and ``predicted`` (replacing columns of those names).
+def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` plus the two named ones (replacing columns of those names).
 
     A null text scores as the empty text: the model's intercept.  Whole texts are scored;
     equal texts score alike; an empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c not in names]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields] + ["score double", "predicted int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields] + [f"`{names[0]}` double", f"`{names[1]}` int"])
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 s = score_texts(model, [t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, *names])
 
     return frame.mapInArrow(run, schema)
