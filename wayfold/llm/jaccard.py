@@ -9,9 +9,11 @@
 3. Classes that share a prefix shingle are cut into bands of compatible sizes; equal bands
    are one tile.  Groups above ``SMALL`` members are merged into clusters first and dealt as
    pairs of size-sorted blocks, so no task holds more than two blocks.
-4. In a tile, hashed bitmaps bound every overlap from above by their bit counts; only what
-   passes is intersected exactly, and only pairs not yet connected are compared.  A tile
-   gives a spanning forest of its links, never all pairs.
+4. In a tile, hashed bitmaps bound every overlap from above by their bit counts.  Members
+   that no partner may reach leave; the rest regroups by what may still link, equal groups
+   are one tile again, and only their sets travel.
+5. Sets are intersected exactly, pairs already connected are skipped, and a tile gives a
+   spanning forest of its links, never all pairs.
 
 Components of the links are found by distributed label propagation.
 """
@@ -34,7 +36,7 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 16
 SMALL = 64
 BLOCK = 1024
-BITMAP = 2048
+BITMAP = (256, 16384)
 _U = np.uint64
 
 
@@ -51,6 +53,26 @@ def _classes(value: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix((sums[off[1:]] - sums[off[:-1]]) + np.diff(off).astype(np.uint64)).view(np.int64)
 
 
+def _bitmaps(value: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Each set's hashed bitmap, a power of two of about two bits for each member within ``BITMAP``."""
+    out = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        bits = min(max(BITMAP[0], 1 << max(0, 2 * (b - a) - 1).bit_length()), BITMAP[1])
+        held = np.zeros(bits, bool)
+        held[(value[a:b] & _U(bits - 1)).astype(np.int64)] = True
+        out.append(np.packbits(held).tobytes())
+    return out
+
+
+def _aligned(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the smallest length among them: each half is or-ed onto the other."""
+    least = min(map(len, maps))
+    out = np.empty((len(maps), least), np.uint8)
+    for i, m in enumerate(maps):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0)
+    return out.view(np.uint64)
+
+
 def _place(value: np.ndarray) -> np.ndarray:
     return (value >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -59,16 +81,16 @@ def _describe(n: int):
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         task = TaskContext.get().partitionId()
-        names = ["doc_id", "n", "cls", "part", "task", "counts"]
+        names = ["doc_id", "n", "cls", "bits", "part", "task", "counts"]
         for batch in batches:
             ids = batch.column(0)
             for a, b, value, off in _sets(batch.column(1), n):
                 counts += np.bincount(_place(value), minlength=len(counts)).astype(np.uint32)
                 k = b - a
-                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(off)), pa.array(_classes(value, off)), pa.array(np.full(k, -1, np.int32)), pa.array(np.full(k, task, np.int32)), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(off)), pa.array(_classes(value, off)), pa.array(_bitmaps(value, off), pa.binary()), pa.array(np.full(k, -1, np.int32)), pa.array(np.full(k, task, np.int32)), pa.nulls(k, pa.binary())], names)
         if counts.any():
             cut = np.split(counts, SKETCH_PARTS)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(np.full(SKETCH_PARTS, task, np.int32)), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(np.full(SKETCH_PARTS, task, np.int32)), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())], names)
 
     return run
 
@@ -145,16 +167,37 @@ def _tile_of(band: list[dict], tiles: list[int], members: list[int]) -> None:
         members += own.tolist()
 
 
+def may_link(ids: np.ndarray, size: np.ndarray, maps: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A label for each row, equal where bit counts leave a chain of possible links; -1 for rows without any."""
+    order = np.lexsort((ids, size))
+    size, maps, side = size[order], maps[order], side[order]
+    m = len(ids)
+    across = len(np.unique(side)) > 1
+    root, alive = np.arange(m), np.zeros(m, bool)
+    for i in range(m - 1):
+        last = int(np.searchsorted(size, den * size[i] // num, "right"))
+        j = np.arange(i + 1, last)
+        j = j[((root[j] != root[i]) | ~alive[i]) & ((side[j] != side[i]) | (not across))]
+        if not len(j):
+            continue
+        both = size[j] + size[i]
+        most = (both - np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)) // 2
+        j = j[(den + num) * most >= num * both]
+        if len(j):
+            alive[i] = alive[j] = True
+            root[np.isin(root, root[j])] = root[i]
+    label = np.empty(m, np.int64)
+    label[order] = np.where(alive, root, -1)
+    return label
+
+
 def overlap_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Spanning links of the pairs with den * |A n B| >= num * |A u B|; with two sides only pairs across."""
     size = np.array([len(s) for s in sets])
     order = np.lexsort((ids, size))
     ids, side, size, sets = ids[order], side[order], size[order], [sets[i] for i in order]
     m = len(ids)
-    bits = np.zeros((m, BITMAP), bool)
-    bits[np.repeat(np.arange(m), size), np.concatenate(sets).astype(np.int64) & (BITMAP - 1)] = True
-    maps = np.packbits(bits, axis=1).view(np.uint64)
-    del bits
+    maps = _aligned(_bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])))
     across = len(np.unique(side)) > 1
     root, links = np.arange(m), []
     for i in range(m - 1):
@@ -163,9 +206,8 @@ def overlap_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num
         j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (not across))]
         if not len(j):
             continue
-        apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
         both = size[j] + size[i]
-        most = (both - apart) // 2
+        most = (both - np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)) // 2
         j = j[(den + num) * most >= num * both]
         if not len(j):
             continue
@@ -193,9 +235,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(texts.mapInArrow(_describe(n), "doc_id long, n long, cls long, part int, task int, counts binary"), "described")
-    info = described.filter("part < 0").select("doc_id", "n", "cls")
+    described = materialize(texts.mapInArrow(_describe(n), "doc_id long, n long, cls long, bits binary, part int, task int, counts binary"), "described")
+    info = described.filter("part < 0").select("doc_id", "n", "cls", "bits")
     links = _class_links(spark, texts, info, described, n, num, den)
+    info = info.drop("bits")
     roots = components(links)
     # ids of classes with an empty set stay out of every link
     smallest = info.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
@@ -215,9 +258,23 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
     small = groups.select("members").mapInArrow(_bands(num, den), "tile long, cls long").dropDuplicates(["tile", "cls"]).withColumn("side", F.lit(0))
     tiles = materialize(small.unionByName(_cluster_tiles(shared.filter(F.col("m") > SMALL), num, den)), "tiles")
 
-    wanted = tiles.select("cls").distinct()
+    maps = info.filter("n > 0").join(tiles.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+    def thin(table: pa.Table) -> pa.Table:
+        cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()
+        label = may_link(cls, table.column("n").to_numpy(), _aligned(table.column("bits").to_pylist()), side, num, den)
+        tile = np.full(len(cls), table.column("tile")[0].as_py())
+        if not side.any():  # a whole group: what may still link is named by its members
+            for x in np.unique(label[label >= 0]):
+                own = label == x
+                tile[own] = mix(np.array([np.bitwise_xor.reduce(mix(cls[own].view(np.uint64))) + _U(own.sum())]))[0].view(np.int64)
+        own = label >= 0
+        return pa.table({"tile": tile[own], "cls": cls[own], "side": side[own]})
+
+    rest = tiles.join(maps, "cls").groupBy("tile").applyInArrow(thin, "tile long, cls long, side int").dropDuplicates(["tile", "cls", "side"])
+    tiles = materialize(rest, "tiles")
     first = info.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = materialize(first.join(wanted, "cls").select("cls", "doc_id"), "wanted")
+    chosen = materialize(first.join(tiles.select("cls").distinct(), "cls").select("cls", "doc_id"), "wanted")
     candidates = _of_ids(texts, chosen)
 
     def sets(batches):
