@@ -37,6 +37,10 @@ BYTE_VALUE = _byte_values()
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Blanks and ASCII punctuation: what separates bare words.
+IS_SEPARATOR = IS_SPACE.copy()
+IS_SEPARATOR[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
 _BASE = 0xD1342543DE82EF95
 _powers = np.ones(0, np.uint64)
 _inverse = np.ones(0, np.uint64)
@@ -81,13 +85,13 @@ def runs(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(value, start byte, end byte) of each word and the rows' offsets into the words."""
     n = len(data)
     if n == 0:
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    space = IS_SPACE[data]
+    space = is_space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start = ~space

@@ -25,18 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import buffers, runs, words
+from .bytetext import IS_SEPARATOR, buffers, runs, words
 from .scratch import materialize
 
 STEP = 16
-RANK, OVER = 160, 32
-MAX_DF = 0.02
-COSINE = 0.35
+RANK, OVER = 192, 32
+MAX_DF = 0.005
+COSINE = 0.4
 SURE, LIKELY, ANSWER = 0.7, 0.5, 0.6
 BLOCK_ITEMS = 20_000
 _U = np.uint64
 
 
+def _words_of(texts: list[str]) -> np.ndarray:
+    return words(*buffers(pa.array(texts, pa.string())), IS_SEPARATOR)[0]
+
+
 class Vocabulary:
     """Word values of the benchmark in an open-addressing table."""
 
@@ -78,7 +82,7 @@ def _entries(column: pa.Array, vocab: Vocabulary):
     """For each chunk: first row, (row, word number in row, column) of vocabulary words, words of each row."""
     data, off = buffers(column)
     for a, b in runs(off):
-        value, _, _, word_off = words(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        value, _, _, word_off = words(data[off[a] : off[b]], off[a : b + 1] - off[a], IS_SEPARATOR)
         place, col = vocab.find(value)
         row = np.searchsorted(word_off, place, "right") - 1
         yield a, b, row, place - word_off[row], col, np.diff(word_off)
@@ -100,9 +104,22 @@ def _row(body: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(body.tobytes(), 1)], pa.binary())], ["task", "body"])
 
 
+def segment_sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``table[index]`` from each ``first`` to the next: all segments' k-th rows at once, long tails alone."""
+    count = np.diff(np.append(first, len(index)))
+    out = table[index[first]].astype(np.float32)
+    for k in range(1, min(int(count.max(initial=0)), 64)):
+        at = np.flatnonzero(count > k)
+        out[at] += table[index[first[at] + k]]
+    for at in np.flatnonzero(count > 64):
+        rest, hits = np.unique(index[first[at] + 64 : first[at] + count[at]], return_counts=True)
+        out[at] += hits.astype(np.float32) @ table[rest]
+    return out
+
+
 class Item:
     def __init__(self, item_id: int, text: str, vocab: Vocabulary, weight: np.ndarray):
-        value = words(*buffers(pa.array([text])))[0]
+        value = _words_of([text])
         self.id, self.n = item_id, len(value)
         _, self.all = vocab.find(value)
         self.cols = self.all[weight[self.all] > 0]
@@ -114,7 +131,7 @@ class Item:
             self.masks[c] = self.masks.get(c, 0) | 1 << i
         # the answer: what follows the last question mark or, without one, the last sentence
         tail = text.rstrip().rstrip(".!?").rpartition("?")[2] if "?" in text.rstrip()[:-1] else re.split(r"[.!?]\s", text.strip())[-1]
-        _, answer = vocab.find(words(*buffers(pa.array([tail])))[0])
+        _, answer = vocab.find(_words_of([tail]))
         self.answer = set(answer[weight[answer] > 0].tolist()) or set(answer.tolist())
 
     def common(self, cols: list[int]) -> int:
@@ -150,15 +167,16 @@ def _latent(y: np.ndarray, random: np.ndarray, rank: int) -> np.ndarray:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, cosine, overlap`` for each document that holds a benchmark item or a paraphrase.
 
-    Whole texts are searched.  ``overlap`` is the share of the item's informative words in the
+    Whole texts are searched, in lower case, as bare words between blanks and ASCII punctuation.
+    ``overlap`` is the share of the item's informative words in the
     longest common subsequence.  Null or empty texts hold nothing; items without words leak
     nowhere; equal items are found each; repeated documents are separate rows; a null doc_id
     stays null; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, overlap double"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).filter("text is not null")
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     count = items.count()
     blocks = max(1, -(-count // BLOCK_ITEMS))
     found = None
@@ -174,7 +192,7 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
     sc = texts.sparkSession.sparkContext
     if not items:
         return None
-    values = words(*buffers(pa.array([t for _, t in items])))[0]
+    values = _words_of([t for _, t in items])
     if not len(values):
         return None
     vocab = sc.broadcast(Vocabulary(values))
@@ -215,12 +233,12 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
     def gram(passage: np.ndarray, col: np.ndarray, out: np.ndarray) -> None:
         """out += A'A R of the given entries, sorted by passage."""
         first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        rows = np.add.reduceat(folded.value[col], first, axis=0)
+        rows = segment_sums(folded.value, col, first)
         of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(col)]])))
         order = np.argsort(col, kind="stable")
         c = col[order]
         cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        out[c[cut]] += np.add.reduceat(rows[of[order]], cut, axis=0) * w.value[c[cut], None]
+        out[c[cut]] += segment_sums(rows, of[order], cut) * w.value[c[cut], None]
 
     def ranges(batches):
         y = np.zeros((n, width))
@@ -263,7 +281,7 @@ def _leaks(ids, a, row, at, col, weight, fewest, model, found) -> None:
     vectors, target, owner, items = model
     every = row, at, col
     live = weight[col] > 0
-    row, at, col = informative = row[live], at[live], col[live]
+    row, at, col = row[live], at[live], col[live]
     if not len(col):
         return
     block = (row << 40) + at // STEP
@@ -280,30 +298,37 @@ def _leaks(ids, a, row, at, col, weight, fewest, model, found) -> None:
     ends = first + count
     index = np.concatenate([np.arange(first[b], ends[b]) for b in needed])
     sums = np.zeros((len(key), vectors.shape[1]), np.float32)
-    sums[needed] = np.add.reduceat(vectors[col[index]], np.concatenate([[0], np.cumsum(count[needed])[:-1]]), axis=0)
+    sums[needed] = segment_sums(vectors, col[index], np.concatenate([[0], np.cumsum(count[needed])[:-1]]))
+    size, length = np.array([len(i.cols) for i in items]), np.array([i.n for i in items])
+    plain = np.array([i.plain for i in items])
+    places = (row << 40) + at
     for c0 in range(0, len(chosen), 4096):
         c = chosen[c0 : c0 + 4096]
         win = sums[c] + np.where(follows[c, None], sums[np.minimum(c + 1, len(key) - 1)], 0)
         norm = np.linalg.norm(win, axis=1)
         cosine = (win @ target.T) / np.maximum(norm, 1e-9)[:, None]
         wi, ti = np.nonzero(cosine >= COSINE)
+        of, r = owner[ti], key[c[wi]] >> 40
+        start = (key[c[wi]] & ((1 << 40) - 1)) * STEP
+        # the stretch of words around the window in which the item may lie; too few words cannot overlap enough
+        base, near = r << 40, np.maximum(start - length[of], 0)
+        lo, hi = np.searchsorted(places, base + near), np.searchsorted(places, base + start + 2 * STEP + length[of])
+        likely = np.flatnonzero((hi - lo >= LIKELY * size[of]) | plain[of])
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for i, t in zip(wi.tolist(), ti.tolist(), strict=True):
-            item = items[owner[t]]
-            k = int(key[c[i]])
-            r, start = k >> 40, (k & ((1 << 40) - 1)) * STEP
-            got = best.get((r, owner[t]))
+        for i in likely[np.argsort(-cosine[wi[likely], ti[likely]], kind="stable")].tolist():
+            who, own = int(r[i]), int(of[i])
+            item, got = items[own], best.get((who, own))
             if got and got[1] >= 1:
                 continue
-            rows, places, columns = every if item.plain else informative
-            low, high = np.searchsorted(rows, [r, r + 1])
-            lo = low + np.searchsorted(places[low:high], start - item.n)
-            hi = low + np.searchsorted(places[low:high], start + 2 * STEP + item.n)
-            near = columns[lo:hi].tolist()
-            overlap = item.common(near) / len(item.cols)
-            if overlap >= SURE or overlap >= LIKELY and len(item.answer.intersection(near)) >= ANSWER * len(item.answer):
+            if item.plain:
+                low, high = np.searchsorted((every[0] << 40) + every[1], [base[i] + near[i], base[i] + start[i] + 2 * STEP + item.n])
+                around = every[2][low:high].tolist()
+            else:
+                around = col[lo[i] : hi[i]].tolist()
+            overlap = item.common(around) / len(item.cols)
+            if overlap >= SURE or overlap >= LIKELY and len(item.answer.intersection(around)) >= ANSWER * len(item.answer):
                 if not got or overlap > got[1]:
-                    best[r, owner[t]] = (float(cosine[i, t]), overlap)
+                    best[who, own] = (float(cosine[wi[i], ti[i]]), overlap)
         merged = {(ids[a + r], items[k].id, r): v for (r, k), v in best.items()}
         for (doc, item, r), (cos, overlap) in merged.items():
             found.append((doc, item, cos, overlap, r))
