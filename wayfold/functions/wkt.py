@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +46,6 @@ def wkb(kind: str | None, parts) -> bytes | None:
     return head(kind) + struct.pack("<I", len(parts)) + b"".join(wkb(kind[5:], [p]) for p in parts)
 
 
-@F.pandas_udf(T.BinaryType())
-def to_wkb(kind: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([wkb(k, p) for k, p in zip(kind, parts, strict=True)])
+@F.arrow_udf(T.BinaryType())
+def to_wkb(kind: pa.Array, parts: pa.Array) -> pa.Array:
+    return pa.array([wkb(k, p) for k, p in zip(kind.to_pylist(), parts.to_pylist(), strict=True)], pa.binary())
