@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import IS_SEPARATOR, buffers, runs, words
-from .scratch import materialize
+from .scratch import map_texts, materialize
 
 STEP = 16
 RANK, OVER = 192, 32
@@ -212,7 +212,7 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
                     df += np.bincount(c[new], minlength=n)
         yield _row(np.concatenate([df, [total]]))
 
-    summed = _sum_rows(texts.select("text").mapInArrow(frequencies, "task int, body binary"), "int64")
+    summed = _sum_rows(map_texts(texts.select("text"), frequencies, "task int, body binary"), "int64")
     if summed is None:
         return None
     df, total = summed[:-1], max(1, int(summed[-1]))
@@ -249,7 +249,7 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
                     gram(((row << 40) + at // (2 * STEP))[live], col[live], y)
         yield _row(y.astype(np.float32))
 
-    y = _sum_rows(texts.select("text").mapInArrow(ranges, "task int, body binary"), "float32").astype(np.float64).reshape(n, width)
+    y = _sum_rows(map_texts(texts.select("text"), ranges, "task int, body binary"), "float32").astype(np.float64).reshape(n, width)
     windows = [(k, win) for k, item in enumerate(kept) for win in item.windows(weight)]
     own = np.zeros((n, width))
     cols = np.concatenate([win for _, win in windows])
@@ -274,7 +274,7 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
                 _leaks(ids, a, row, at, col, w.value, fewest, model.value, found)
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cosine", "overlap"])
 
-    return texts.mapInArrow(search, schema)
+    return map_texts(texts, search, schema)
 
 
 def _leaks(ids, a, row, at, col, weight, fewest, model, found) -> None:

@@ -21,6 +21,7 @@ Components of the links are found by distributed label propagation.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import buffers, distinct_sorted, mix, runs, shingles, words
 from .components import components
-from .scratch import materialize
+from .scratch import map_texts, materialize
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
@@ -235,7 +236,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(texts.mapInArrow(_describe(n), "doc_id long, n long, cls long, bits binary, part int, task int, counts binary"), "described")
+    described = materialize(map_texts(texts, _describe(n), "doc_id long, n long, cls long, bits binary, part int, task int, counts binary"), "described")
     info = described.filter("part < 0").select("doc_id", "n", "cls", "bits")
     links = _class_links(spark, texts, info, described, n, num, den)
     info = info.drop("bits")
@@ -250,13 +251,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
 def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, described: DataFrame, n: int, num: int, den: int) -> DataFrame:
     sketch = spark.sparkContext.broadcast(_sketch(described))  # 2 ** SKETCH_BITS counters, whatever the input
-    prefixes = texts.select("text").mapInArrow(_prefixes(n, num, den, sketch), "token long, cls long, n int")
+    prefixes = map_texts(texts.select("text"), _prefixes(n, num, den, sketch), "token long, cls long, n int")
     once = prefixes.repartition("token").dropDuplicates(["token", "cls"])
     shared = materialize(once.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1"), "shared")
 
     groups = shared.filter(F.col("m") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("members"))
-    small = groups.select("members").mapInArrow(_bands(num, den), "tile long, cls long").dropDuplicates(["tile", "cls"]).withColumn("side", F.lit(0))
-    tiles = materialize(small.unionByName(_cluster_tiles(shared.filter(F.col("m") > SMALL), num, den)), "tiles")
+    tiles = groups.select("members").mapInArrow(_bands(num, den), "tile long, cls long").dropDuplicates(["tile", "cls"]).withColumn("side", F.lit(0))
+    hot = shared.filter(F.col("m") > SMALL)
+    if not hot.isEmpty():
+        tiles = tiles.unionByName(_cluster_tiles(hot, num, den))
+    tiles = materialize(tiles, "tiles", narrow=True)
 
     maps = info.filter("n > 0").join(tiles.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
@@ -272,17 +276,18 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
         return pa.table({"tile": tile[own], "cls": cls[own], "side": side[own]})
 
     rest = tiles.join(maps, "cls").groupBy("tile").applyInArrow(thin, "tile long, cls long, side int").dropDuplicates(["tile", "cls", "side"])
-    tiles = materialize(rest, "tiles")
+    tiles = materialize(rest, "tiles", narrow=True)
     first = info.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = materialize(first.join(tiles.select("cls").distinct(), "cls").select("cls", "doc_id"), "wanted")
-    candidates = _of_ids(texts, chosen)
+    chosen = materialize(first.join(tiles.select("cls").distinct(), "cls").select("cls", "doc_id"), "wanted", narrow=True)
+    keep = id_filter(chosen)
 
     def sets(batches):
         for batch in batches:
-            for a, b, value, off in _sets(batch.column(0), n):
+            wanted = batch.column(1).filter(keep(batch.column(0)))
+            for a, b, value, off in _sets(wanted, n):
                 yield pa.RecordBatch.from_arrays([pa.array(_classes(value, off)), pa.array([value[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["cls", "body"])
 
-    bodies = candidates.select("text").mapInArrow(sets, "cls long, body binary").join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    bodies = map_texts(texts, sets, "cls long, body binary").join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     bodies = materialize(bodies, "bodies")
 
     def verify(table: pa.Table) -> pa.Table:
@@ -299,7 +304,7 @@ def _cluster_tiles(hot: DataFrame, num: int, den: int) -> DataFrame:
     size = hot.groupBy("cls").agg(F.max("n").alias("n"))
     placed = size.join(roots.select(F.col("id").alias("cls"), "root"), "cls")
     order = Window.partitionBy("root").orderBy("n", "cls")
-    placed = materialize(placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "placed")
+    placed = materialize(placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "placed", narrow=True)
     span = placed.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = span.select("root", F.col("block").alias("i"), F.col("high").alias("high")), span.select("root", F.col("block").alias("j"), "low")
     # blocks of one cluster that hold compatible sizes; both sides are one row for each block
@@ -309,11 +314,9 @@ def _cluster_tiles(hot: DataFrame, num: int, den: int) -> DataFrame:
     return placed.join(sides, ["root", "block"]).select("tile", "cls", "side")
 
 
-def _of_ids(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose doc_id may be in ``chosen`` (null ids always pass): a bitmap of bounded size."""
-    spark = texts.sparkSession
-    count = chosen.count()
-    bits = 1 << min(26, max(16, (16 * count).bit_length()))
+def id_filter(chosen: DataFrame) -> Callable[[pa.Array], pa.Array]:
+    """A test whether ids may be in ``chosen`` (nulls always may): a bitmap of bounded size, broadcast."""
+    bits = 1 << min(26, max(16, (16 * chosen.count()).bit_length()))
 
     def mark(batches):
         held = np.zeros(bits // 8, np.uint8)
@@ -326,13 +329,11 @@ def _of_ids(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     held = np.zeros(bits // 8, np.uint8)
     for r in chosen.select("doc_id").coalesce(16).mapInArrow(mark, "bits binary").toArrow().to_pylist():  # at most 16 rows of at most 8 MB
         held |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    shared = spark.sparkContext.broadcast(held)
+    shared = chosen.sparkSession.sparkContext.broadcast(held)
 
-    def keep(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            at = (mix(ids.fill_null(0).to_numpy().view(np.uint64)) & _U(bits - 1)).astype(np.int64)
-            ok = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            yield batch.filter(pa.array(ok | ids.is_null().to_numpy(zero_copy_only=False)))
+    def keep(ids: pa.Array) -> pa.Array:
+        at = (mix(ids.fill_null(0).to_numpy().view(np.uint64)) & _U(bits - 1)).astype(np.int64)
+        ok = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return pa.array(ok | ids.is_null().to_numpy(zero_copy_only=False))
 
-    return texts.mapInArrow(keep, "doc_id long, text string")
+    return keep

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import math
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one Arrow batch: whole texts have no fixed size, so Spark's 10,000 would be many MB.
+TEXT_ROWS = 1000
+
 
 def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local tests)."""
@@ -25,22 +30,41 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/wayfold-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Unlike an executor-local checkpoint the table survives lost executors, and its
     statistics let the planner choose a join by the size that was really written.
+    ``narrow`` tables (a few ids in each row) are written by an eighth of the shuffle's
+    tasks, so that a loop does not leave thousands of tiny files.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = fresh_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan_partitions(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over texts in batches of at most ``TEXT_ROWS`` rows; a task's memory goes back when it ends."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, TEXT_ROWS)
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(trimmed, schema)
 
 
-def key_partitions(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Partitions for ``rows`` keyed rows: never fewer than the session's shuffle width."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))
+def give_back() -> None:
+    """Return free memory of this worker to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; the allocator keeps its pages

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import map_texts
+
 #: The pre-token pattern of the rank files; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REMEMBERED = 400_000
@@ -189,4 +191,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text_col: s
                 size = [len(t.encode()) if t else 0 for t in part]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, 512), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_texts(texts, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

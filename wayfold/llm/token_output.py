@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .scratch import fresh_dir, materialize
+from .scratch import fresh_dir, map_texts, materialize
 
 REMEMBERED = 600_000
 _TAIL = ".,;:!?"
@@ -225,7 +225,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
         if writer:
             writer.close()
 
-    index = materialize(ordered.mapInArrow(encode, INDEX), "token-index")
+    index = materialize(map_texts(ordered, encode, INDEX), "token-index")
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return index.join(totals.select("shard", before.alias("before")), "shard").withColumn("start", F.col("before") + F.col("local_start")).drop("before")

@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, labelled_sample
+from .scratch import map_texts
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
 BUCKETS = 1 << BITS
 FEATURES = 4096
 MAX_TRAIN = 8000
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _K = np.uint32(0x01000193)
 _G = np.uint32(0x9E3779B1)
 _FOLD = np.arange(1 << 16, dtype=np.uint32)
@@ -89,7 +90,7 @@ def fit(sample: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]]), pa.array([zlib.compress(held.tobytes(), 1)])], ["n0", "n1", "counts"])
 
     df, n0, n1 = np.zeros((2, BUCKETS)), 0, 0
-    for r in sample.mapInArrow(counts, "n0 long, n1 long, counts binary").toArrow().to_pylist():  # one row of bounded size for each of the sample's few partitions
+    for r in map_texts(sample, counts, "n0 long, n1 long, counts binary").toArrow().to_pylist():  # one row of bounded size for each of the sample's few partitions
         df += np.frombuffer(zlib.decompress(r["counts"]), np.int32).reshape(2, BUCKETS)
         n0, n1 = n0 + r["n0"], n1 + r["n1"]
     if not n0 or not n1:
@@ -113,7 +114,7 @@ def fit(sample: DataFrame) -> dict:
                 yield pa.RecordBatch.from_arrays([pa.array([lookup[bucket[cut[i] : cut[i + 1]]].astype(np.int32).tobytes() for i in range(b - a)], pa.binary()), batch.column(1).slice(a, b - a)], ["ids", "y"])
 
     ids, y = [], []
-    for r in sample.mapInArrow(selected, "ids binary, y int").toArrow().to_pylist():  # at most the sample's bound of rows
+    for r in map_texts(sample, selected, "ids binary, y int").toArrow().to_pylist():  # at most the sample's bound of rows
         ids.append(np.frombuffer(r["ids"], np.int32) - 1)
         y.append(r["y"])
     weight, bias = _logistic(ids, np.array(y, float), ratio[chosen])
@@ -174,4 +175,4 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.7, names:
                 s = score_texts(model, [t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, *names])
 
-    return frame.mapInArrow(run, schema)
+    return map_texts(frame, run, schema)
