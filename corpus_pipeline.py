@@ -43,9 +43,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id."""
     keyed = _keyed(docs)
-    groups = materialize(jaccard_join(_texts(keyed), n=SHINGLE, num=SIMILAR[0], den=SIMILAR[1]), "groups")
-    gone = materialize(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(KEY)).distinct(), "gone")
-    repeated = materialize(groups.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(KEY)), "repeated")
+    groups = materialize(jaccard_join(_texts(keyed), n=SHINGLE, num=SIMILAR[0], den=SIMILAR[1]), "groups", narrow=True)
+    gone = materialize(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(KEY)).distinct(), "gone", narrow=True)
+    repeated = materialize(groups.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(KEY)), "repeated", narrow=True)
     kept = keyed.join(gone, KEY, "left_anti")
     if not repeated.isEmpty():  # rows that repeat an id and its text are one document
         single = kept.join(repeated, KEY, "left_anti")
@@ -58,7 +58,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     keyed = _keyed(docs)
     leaks = leaked_documents(_texts(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = materialize(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "gone")
+    gone = materialize(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "gone", narrow=True)
     return keyed.join(gone, KEY, "left_anti").select(*docs.columns)
 
 
@@ -67,7 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     taken = mix_sources(keyed.select(F.col(KEY).alias("doc_id"), "text", "source"), weights=WEIGHTS, max_epochs=EPOCHS)
     copies = taken.filter("size > 0").select(F.col("doc_id").alias(KEY), F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("__copies"))
-    copies = materialize(copies.filter("__copies > 0").groupBy(KEY).agg(F.max("__copies").alias("__copies")), "copies")
+    copies = materialize(copies.filter("__copies > 0").groupBy(KEY).agg(F.max("__copies").alias("__copies")), "copies", narrow=True)
     repeated = keyed.join(copies, KEY).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(*docs.columns)
 
