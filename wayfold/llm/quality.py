@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import buffers, runs, shingles, words
 from .labelled import fold, labelled_sample
+from .scratch import map_texts
 
 PASSAGE = 40
 MAX_TRAIN = 8000
@@ -134,7 +135,7 @@ def _bags(batches):
 
 def fit(sample: DataFrame, epochs: int = 12, batch: int = 64, seed: int = 5) -> Attention:
     """Train on ``text, y`` rows (bounded by the caller) with Adam; the passages' numbers, not the texts, come to the driver."""
-    bags = sorted(((np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(np.float64), r["y"]) for r in sample.mapInArrow(_bags, "x binary, y int").toArrow().to_pylist()), key=lambda b: (b[1], b[0].shape, b[0].tobytes()))
+    bags = sorted(((np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(np.float64), r["y"]) for r in map_texts(sample, _bags, "x binary, y int").toArrow().to_pylist()), key=lambda b: (b[1], b[0].shape, b[0].tobytes()))
     if not bags:
         model = Attention.start(seed, np.zeros(WIDTH), np.ones(WIDTH))
         model.p["c"][:] = 0
@@ -179,7 +180,8 @@ def score_quality(docs: DataFrame, model: Attention, threshold: float = 0.3) ->
         for batch in batches:
             data, off = buffers(batch.column(1))
             for a, b in runs(off):
-                s = model.score(*passage_features(data[off[a] : off[b]], off[a : b + 1] - off[a]))
+                s = np.round(model.score(*passage_features(data[off[a] : off[b]], off[a : b + 1] - off[a])), 9)  # not the order of summation
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_texts(texts, run, "doc_id long, score double, predicted int")

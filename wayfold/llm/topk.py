@@ -164,7 +164,8 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     of queries once per phase; neither side is collected or broadcast by hand.
     """
     block_schema = "dim int, ids binary, body binary"
-    q = materialize(quantised(queries, id_col, vector_col, scale).repartition(1 if queries.rdd.getNumPartitions() == 1 else 8).mapInArrow(_blocks(QUERY_BLOCK), block_schema).withColumn("qb", F.monotonically_increasing_id()), "topk-q")
+    asked = quantised(queries, id_col, vector_col, scale)
+    q = materialize(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))).mapInArrow(_blocks(QUERY_BLOCK), block_schema).withColumn("qb", F.monotonically_increasing_id()), "topk-q")
     v = quantised(vectors, id_col, vector_col, scale).mapInArrow(_blocks(BLOCK), block_schema)
     named = q.select("dim", "qb", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
     keys = q.groupBy("dim").agg(F.collect_list("qb").alias("qbs"))  # one id for each QUERY_BLOCK queries
