@@ -10,7 +10,7 @@ SCHEMA = "vec_id long, embedding array<float>, extra string, score long"
 
 def by_hand(rows, k, scale=256):
     q = {}
-    vecs = [(i, [math.floor(scale * float(x)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    vecs = [(i, [math.floor(scale * float(x)) for x in v]) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     for i, a in vecs:
         if i % 5 == 0:
             scores = sorted(((-sum(x * y for x, y in zip(a, b)), j) for j, b in vecs if j != i and len(a) == len(b)))
@@ -48,6 +48,8 @@ def test_fewer_candidates_than_k(spark):
 
 
 def test_scores_beyond_doubles(spark):
-    rows = [(0, [3.0e7, 1.0], "a", 0), (1, [3.0e7, 1.0], "a", 0), (2, [3.0e7, 2.0], "a", 0)]
+    rows = [(0, [3.0e6, 1.0], "a", 0), (1, [3.0e6, 1.0], "a", 0), (2, [3.0e6, 2.0], "a", 0)]
     got = run(spark, rows)
     assert got == by_hand(rows, 5)
+    huge = [(0, [1.0e30], "a", 0), (1, [1.0e30], "a", 0), (2, [-1.0e30], "a", 0)]
+    assert run(spark, huge) == {0: [(1, (1 << 63) - 1), (2, -(1 << 63))]}

@@ -152,7 +152,7 @@ class Counter:
             t = t or ""
             specials = 0
             found: list[str] = []
-            if self.cut and "<|" in t:
+            if self.cut and any(x in t for x in self.merges.special):
                 parts = self.cut(t)
                 specials = len(parts) - 1
                 for p in parts:

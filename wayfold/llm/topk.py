@@ -30,8 +30,10 @@ _EXACT = float(1 << 53)
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``id, v array<double>`` of integers floor(scale * x); rows that take no part are gone."""
     v = F.col(f"`{vector_col}`")
-    ok = v.isNotNull() & F.col(f"`{id_col}`").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return vectors.filter(ok).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"))
+    ok = v.isNotNull() & (F.size(v) > 0) & F.col(f"`{id_col}`").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    whole = lambda y: F.when(F.abs(y) < F.lit(_EXACT), F.floor(y).cast("double")).otherwise(y)  # noqa: E731  beyond, every double is an integer
+    return vectors.filter(ok).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: whole(scaled(x))).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -91,7 +93,7 @@ _OUT = "query_id long, vec_id long, score long"
 
 
 def _rows(q, v, s):
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(q, np.int64)), pa.array(np.asarray(v, np.int64)), pa.array([int(x) for x in s] if s.dtype == object else s.astype(np.int64), pa.int64())], ["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(q, np.int64)), pa.array(np.asarray(v, np.int64)), pa.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in s] if s.dtype == object else s.astype(np.int64), pa.int64())], ["query_id", "vec_id", "score"])
 
 
 def _gather(k: int, lists: int):
@@ -111,10 +113,17 @@ def _gather(k: int, lists: int):
     return phase1
 
 
+def _order(qi: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """By query, falling score, id; integers beyond doubles are compared as Python integers."""
+    if score.dtype != object:
+        return np.lexsort((ids, -score, qi))
+    return np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -score[i], ids[i])), np.int64)
+
+
 def _best(q_ids, ids, qi, vi, total, k):
     """The k best of the given entries of each query, ties to the smaller id."""
     score = total[qi, vi]
-    order = np.lexsort((ids[vi], -score.astype(np.float64), qi))
+    order = _order(qi, score, ids[vi])
     qi, vi, score = qi[order], vi[order], score[order]
     place = np.arange(len(qi)) - np.searchsorted(qi, qi)
     top = place < k
@@ -128,6 +137,7 @@ def _resolve(k: int, lists: int):
                 q_ids, q, ids, v = _tile(row)
                 known = dict(zip(np.frombuffer(row["c_ids"], np.int64).tolist(), np.frombuffer(row["cuts"], np.float64).tolist(), strict=True))
                 cut = np.array([known.get(int(i), -np.inf) for i in q_ids])
+                cut = np.where(np.abs(cut) < _EXACT, cut, np.nextafter(cut, -np.inf))  # as a double it may have been rounded up
                 spans = _slices(row["dim"], lists)
                 limit = np.where(np.isfinite(cut), np.floor(cut / len(spans)), -np.inf)[:, None]
                 parts = [_inner(q[:, s], v[:, s]) for s in spans]
@@ -143,7 +153,7 @@ def _resolve(k: int, lists: int):
                     total = total + p[qi, vi]
                 keep = (q_ids[qi] != ids[vi]) & (total >= cut[qi])
                 qi, vi, total = qi[keep], vi[keep], total[keep]
-                order = np.lexsort((ids[vi], -total.astype(np.float64), qi))
+                order = _order(qi, total, ids[vi])
                 qi, vi, total = qi[order], vi[order], total[order]
                 top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
                 yield _rows(q_ids[qi[top]], ids[vi[top]], total[top])
@@ -155,9 +165,9 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     """``query_id, rank, vec_id, score``: each query's ``k`` best rows of ``vectors``, its own id excepted.
 
     Score: inner product of the vectors' floor(scale * x), an exact integer.  Ties go to the
-    smaller id; a query with fewer than k candidates gets them all.  Null vectors, vectors
-    with null, NaN or infinite components and null ids take no part; a query meets only
-    vectors of its own length; repeated ids among the vectors are separate candidates.
+    smaller id; a query with fewer than k candidates gets them all; scores beyond a long stop
+    at its ends.  Null and empty vectors, vectors with null, NaN or infinite components and
+    null ids take no part; a query meets only vectors of its own length; repeated ids among the vectors are separate candidates.
     Empty tables give an empty result; other columns are ignored.
 
     The vectors are packed into blocks where they are read and each block meets each block
