@@ -68,6 +68,9 @@ def test_dataset_of_an_extract(spark, path, tmp_path):
     q = OsmQuery(ways=True, geometry=True, must_tags=["building"], tags=["building"])
     a, b = (d.query(q, form="wkt").collect() for d in (data, again))
     assert a == b and a[0]["geometry"].startswith("POLYGON")
+    asked = again.query(OsmQuery(ways=True, must_tags=["building"], tags=["building"]))._jdf.queryExecution().toString()
+    assert "IsNotNull(tag_building)" in asked and "refs" not in asked.split("ReadSchema")[1].split(chr(10))[0]
+    assert again.query(OsmQuery(ways=True, keep={"highway": ["primary"], "building": []}, exclude={})).count() == data.query(OsmQuery(ways=True, keep={"highway": ["primary"], "building": []}, exclude={})).count() == 2
     plan = pushed_key(again.ways, "highway", ["primary"])._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "In(tag_highway" in plan or "EqualTo(tag_highway" in plan
 

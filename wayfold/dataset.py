@@ -11,7 +11,7 @@ from .operators.geotype import relation_geotype, way_geotype
 from .operators.relations import member_rows, relation_geometry, without_members
 from .operators.tags import tag_columns, wide_tags
 from .operators.topology import segment_refs
-from .plans.predicate import compile_predicate, of_ids, of_relation_type
+from .plans.predicate import compile_predicate, of_ids, of_relation_type, pushable
 from .plans.query import OsmQuery
 from .schema import AREA, LINE, NODE, POINT, RELATION, WAY
 from .sources.pbf import blob_counts, features, read_pbf
@@ -81,7 +81,11 @@ class OsmDataset:
         """The element tables that the query lets through, with ``osmid`` and ``geom``."""
         out: dict[str, DataFrame] = {}
         test = compile_predicate(q)
-        rename = lambda f: f.filter(test).withColumnRenamed("id", "osmid")
+
+        def rename(frame: DataFrame) -> DataFrame:
+            implied = pushable(q, frame.columns)
+            return (frame if implied is None else frame.filter(implied)).filter(test).withColumnRenamed("id", "osmid")
+
         if q.nodes:
             out["nodes"] = rename(of_ids(self.nodes, q.node_ids)).withColumn("geom", F.lit(POINT))
         if q.ways:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .query import Filter, OsmQuery
 
+#: Columns with this prefix hold the values of single keys (see sources/tables.py).
+PREFIX = "tag_"
 #: Longer id lists become a join instead of an IN list.
 IN_LIST = 1000
 
@@ -44,6 +46,24 @@ def compile_predicate(query: OsmQuery, tags: Column | str = "tags") -> Column:
     return test & (~excluded | (F.lit(False) if kept is None else kept))
 
 
+def pushable(query: OsmQuery, columns: Sequence[str]) -> Column | None:
+    """What the predicate implies about single-key columns; unlike map entries these reach the Parquet scan."""
+    stored = lambda keys: bool(keys) and all(PREFIX + k in columns for k in keys)
+    column = lambda k: F.col(f"`{PREFIX}{k}`")
+    implied = []
+    if query.must_tags and stored(query.must_tags):
+        implied.append([column(k).isNotNull() for k in query.must_tags])
+    if query.keep_first and query.keep and stored(query.keep):
+        implied.append([column(k).isin(*v) if v else column(k).isNotNull() for k, v in query.keep.items()])
+    test = None
+    for alternatives in implied:
+        either = alternatives[0]
+        for a in alternatives[1:]:
+            either = either | a
+        test = either if test is None else test & either
+    return test
+
+
 def of_ids(frame: DataFrame, ids: Sequence[int] | DataFrame | None, column: str = "id") -> DataFrame:
     """Restrict to a whitelist: an IN list while it is short, beyond that a semi-join that the planner sizes."""
     if ids is None:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tags import tag
+from ..plans.predicate import PREFIX
 
-#: Keys with a column of their own; their name there has this prefix.
+#: Keys with a column of their own.
 HOT_KEYS = ("highway", "building", "amenity", "type")
-PREFIX = "tag_"
 
 
 def write_tables(frames: dict[str, DataFrame], path: str, hot_keys: Sequence[str] = HOT_KEYS, partitions: int | None = None) -> None:
