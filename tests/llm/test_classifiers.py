@@ -52,6 +52,18 @@ def test_ngrams_do_not_cross_texts():
     assert toxicity.ngram_places([])[0].size == 0
 
 
+def test_long_texts_go_in_stretches(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc é") for _ in range(n)) for n in (10, 700, 90, 0, 250)]
+    whole = [set(toxicity.ngram_places([t])[1].tolist()) for t in texts]
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+    got = {}
+    for a, _, row, bucket in toxicity._spans(texts):
+        for i, b in zip(row.tolist(), bucket.tolist()):
+            got.setdefault(a + i, set()).add(b)
+    assert [got.get(i, set()) for i in range(5)] == whole
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     model = quality.Attention.start(1, np.zeros(quality.WIDTH), np.ones(quality.WIDTH))

@@ -26,8 +26,20 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/wayfold-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/wayfold-{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; results that still read it end here."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:

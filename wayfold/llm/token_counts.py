@@ -139,6 +139,18 @@ def _merges(path: str) -> Merges:
 _seen: dict[str, dict[str, int]] = {}
 
 
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
+
+
+def segments(text: str, limit: int = 1 << 19) -> list[str]:
+    """A long text in parts of about ``limit`` characters, cut before single blanks, where pre-tokens always end."""
+    parts, at = [], 0
+    while len(text) - at > limit and (cut := _CUT.search(text, at + limit)):
+        parts.append(text[at : cut.start()])
+        at = cut.start()
+    return [*parts, text[at:]] if parts else [text]
+
+
 class Counter:
     def __init__(self, path: str):
         self.merges = _merges(path)
@@ -147,6 +159,12 @@ class Counter:
         self.known = _seen.setdefault(path, {})
 
     def count(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; a long one is counted part by part."""
+        if all(len(t or "") <= 1 << 20 for t in texts):
+            return self._count(texts)
+        return [sum(sum(self._count([p])) for p in segments(t)) if t and len(t) > 1 << 20 else self._count([t])[0] for t in texts]
+
+    def _count(self, texts: list[str | None]) -> list[int]:
         pieces, extra = [], []
         for t in texts:
             t = t or ""

@@ -58,18 +58,33 @@ def ngram_places(texts: list[str], table: np.ndarray | None = None):
     return np.concatenate(rows), np.concatenate(buckets)
 
 
+def _spans(texts: list[str], table: np.ndarray | None = None):
+    """(first text, last text, distinct (text, bucket)): a long text in overlapping stretches that hold every n-gram."""
+    for a, b in _chunks(texts):
+        long = texts[a] if b - a == 1 and len(texts[a]) > CHUNK else None
+        if long is None:
+            yield a, b, *distinct_pairs(*ngram_places(texts[a:b], table))
+            continue
+        seen = np.empty(0, np.int64)
+        for at in range(0, len(long), CHUNK):
+            _, bucket = ngram_places([long[at : at + CHUNK + max(SIZES) - 1]], table)
+            seen = np.union1d(seen, bucket)
+        yield a, b, np.zeros(len(seen), np.int64), seen.astype(np.int64)
+
+
 def distinct_pairs(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pair = np.unique((row.astype(np.int64) << BITS) | bucket)
     return pair >> BITS, pair & (BUCKETS - 1)
 
 
 def _chunks(texts: list[str]):
+    """Runs of texts of about ``CHUNK`` characters; a longer text stands alone."""
     first, held = 0, 0
     for i, t in enumerate(texts):
+        if i > first and held + len(t) > CHUNK:
+            yield first, i
+            first, held = i, 0
         held += len(t)
-        if held > CHUNK:
-            yield first, i + 1
-            first, held = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
 
@@ -82,8 +97,7 @@ def fit(sample: DataFrame) -> dict:
         n = [0, 0]
         for batch in batches:
             texts, y = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), int)
-            for a, b in _chunks(texts):
-                row, bucket = distinct_pairs(*ngram_places(texts[a:b]))
+            for a, b, row, bucket in _spans(texts):
                 for c in (0, 1):
                     held[c] += np.bincount(bucket[y[a:b][row] == c], minlength=BUCKETS).astype(np.int32)
                     n[c] += int((y[a:b] == c).sum())
@@ -108,8 +122,7 @@ def fit(sample: DataFrame) -> dict:
     def selected(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in _chunks(texts):
-                row, bucket = distinct_pairs(*ngram_places(texts[a:b], lookup))
+            for a, b, row, bucket in _spans(texts, lookup):
                 cut = np.searchsorted(row, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([lookup[bucket[cut[i] : cut[i + 1]]].astype(np.int32).tobytes() for i in range(b - a)], pa.binary()), batch.column(1).slice(a, b - a)], ["ids", "y"])
 
@@ -145,8 +158,7 @@ def _logistic(ids: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: in
 
 def score_texts(model: dict, texts: list[str]) -> np.ndarray:
     table, out = model["table"], np.empty(len(texts))
-    for a, b in _chunks(texts):
-        row, bucket = distinct_pairs(*ngram_places(texts[a:b], table))
+    for a, b, row, bucket in _spans(texts, table):
         z = np.bincount(row, table[bucket], b - a) + model["bias"]
         out[a:b] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     return out
