@@ -36,7 +36,7 @@ from .scratch import map_texts, materialize
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
 SMALL = 64
-BLOCK = 1024
+BLOCK = 256
 BITMAP = (256, 16384)
 _U = np.uint64
 
@@ -298,13 +298,18 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
 
 
 def _cluster_tiles(hot: DataFrame, num: int, den: int) -> DataFrame:
-    """Tiles of the groups above SMALL: clusters of overlapping groups, as pairs of size-sorted blocks."""
-    member = hot.withColumn("center", F.min("cls").over(Window.partitionBy("token")))
-    roots = components(member.select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct())
+    """Tiles of the groups above SMALL: clusters of overlapping groups, as pairs of blocks of like size.
+
+    Nothing is gathered by group or cluster: a group's centre is an aggregate, and a cluster's
+    size band is dealt over as many blocks as its count asks for, by a hash of the class.
+    """
+    centers = hot.groupBy("token").agg(F.min("cls").alias("center"))
+    roots = components(hot.join(centers, "token").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct())
     size = hot.groupBy("cls").agg(F.max("n").alias("n"))
-    placed = size.join(roots.select(F.col("id").alias("cls"), "root"), "cls")
-    order = Window.partitionBy("root").orderBy("n", "cls")
-    placed = materialize(placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "placed", narrow=True)
+    banded = size.join(roots.select(F.col("id").alias("cls"), "root"), "cls").withColumn("band", F.floor(F.log("n") / F.lit(np.log(1.05).item())).cast("long"))
+    blocks = banded.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = banded.join(blocks, ["root", "band"])
+    placed = materialize(dealt.select("cls", "n", "root", (F.col("band") * F.lit(1 << 32) + F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block")), "placed", narrow=True)
     span = placed.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = span.select("root", F.col("block").alias("i"), F.col("high").alias("high")), span.select("root", F.col("block").alias("j"), "low")
     # blocks of one cluster that hold compatible sizes; both sides are one row for each block
