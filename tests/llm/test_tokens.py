@@ -13,7 +13,7 @@ from wayfold.llm.token_output import Encoder, ShardReader, ShardWriter, read_tok
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", "  x\t\ty  ", "It's 12345 don't. WHAT'S. a.b, x,.! Ünï.côdé,  nbsp em ǅ İstanbul. ΣΑΣ. é. ́x", "<|endoftext|>a <|startoftext|>.", "a\x1cb\x0bc\x85d", "the... THE,;. ſ. ﬁ. x'.", "日本 語。テ\n🙂🙂.", "aaaa " * 3000, "ababab" * 50, "!" * 3000, "\n\n  \n"]
-text = st.text(alphabet=st.one_of(st.sampled_from("ab eE.,'s\n<|>1é"), st.characters(codec="utf-8")), max_size=60)
+text = st.text(alphabet=st.one_of(st.sampled_from("ab eE.,'s\n<|>1éÉß*%İΣςÅ\u0958\u0301\u212bŉſ"), st.characters(codec="utf-8")), max_size=60)
 
 
 @settings(max_examples=150, deadline=None)
@@ -31,6 +31,18 @@ def test_same_ids_as_the_library(found):
     assert [np.frombuffer(x, e.kind).tolist() for x in e.pack(found)] == [lib.encode(t, add_special_tokens=False).ids for t in found]
 
 
+def test_long_texts_go_in_parts():
+    long = "some words, and <|endoftext|> more  of\n them's " * 60_000
+    assert "".join(tc.segments(long)) == long and max(map(len, tc.segments(long))) < 1 << 20 and tc.segments("x" * 10**6) == ["x" * 10**6]
+    for path in (BYTE, WORD):
+        ids = Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids
+        if path == BYTE:
+            assert tc.Counter(path).count(["a b", long, None]) == [2, len(ids), 0]
+        else:
+            e = Encoder(path)
+            assert np.frombuffer(e.pack(["x", long])[1], e.kind).tolist() == ids
+
+
 def test_other_vocabularies_go_text_by_text():
     e, lib = Encoder(BYTE), Tokenizer.from_file(BYTE)
     assert not e.by_piece

@@ -12,6 +12,7 @@ task writes another file, and only reported files are ever read.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
@@ -25,9 +26,25 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .scratch import fresh_dir, map_texts, materialize
+from .token_counts import segments
 
 REMEMBERED = 600_000
-_TAIL = ".,;:!?"
+#: ASCII punctuation but the apostrophe, which begins pre-tokens of its own.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _bare(word: str) -> str | None:
+    """The lower-case letters before a word's punctuation, if it has the same ids alone; else None.
+
+    Beyond Latin letters, case can depend on neighbours, and letters that are not in composed
+    form may turn into marks that stick to the punctuation.
+    """
+    base = word.rstrip(_TAIL)
+    if base.isascii():
+        return base.lower() if base.isalpha() else None
+    if base.isalpha() and max(base) < "\u0180" and "\u0130" not in base and unicodedata.is_normalized("NFC", base):
+        return base.lower()
+    return None
 INDEX = "shard int, path string, doc_id long, local_start long, n_tokens long"
 
 
@@ -54,7 +71,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.generations = _seen.setdefault(path, [{}, {}])
         self.by_piece = self._blank_free()
-        self.by_tail = self.by_piece and all(self.ids(a + b) == self.ids(a.lower()) + self.ids(b) for a in ("The", "oneded", "Z") for b in (".", ",", "...", "?!", ".,;"))
+        self.by_tail = self.by_piece and all(self.ids(a + b) == self.ids(a.lower()) + self.ids(b) for a in ("The", "oneded", "Z", "Ñandú") for b in (".", ",", "...", "?!", ".,;", "***", "%%%,", "|>"))
 
     def _blank_free(self) -> bool:
         probe = ["a b", "a  b\n\tc", " x ", "it's 12 3, \n(d) e's", "\n"]
@@ -67,6 +84,12 @@ class Encoder:
         return self.lib.encode(text, add_special_tokens=False).ids
 
     def pack(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; a long one is encoded part by part where that gives the same ids."""
+        if not self.by_piece or all(len(t) <= 1 << 20 for t in texts):
+            return self._pack(texts)
+        return [b"".join(self._pack([p])[0] for p in segments(t)) if len(t) > 1 << 20 else self._pack([t])[0] for t in texts]
+
+    def _pack(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.generations[0]) > REMEMBERED:
@@ -78,12 +101,15 @@ class Encoder:
             if w in before:
                 known[w] = before[w]
                 continue
-            if self.by_tail and w.isascii():
-                base = w.lower().rstrip(_TAIL)
-                if base != w and base.isalpha():
-                    split.append((w, base, w[len(base) :]))
-                    new.update(x for x in split[-1][1:] if x and x not in known)
-                    continue
+            base = _bare(w) if self.by_tail else None
+            if base is not None and base != w:
+                tail = w[len(base) :]
+                split.append((w, base, tail))
+                if base not in known:
+                    new.add(base)
+                if tail and tail not in known:
+                    new.add(tail)
+                continue
             new.add(w)
         todo = []
         for w in new:
