@@ -253,7 +253,8 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
     sketch = spark.sparkContext.broadcast(_sketch(described))  # 2 ** SKETCH_BITS counters, whatever the input
     prefixes = map_texts(texts.select("text"), _prefixes(n, num, den, sketch), "token long, cls long, n int")
     once = prefixes.repartition("token").dropDuplicates(["token", "cls"])
-    shared = materialize(once.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1"), "shared")
+    group = Window.partitionBy("token")
+    shared = materialize(once.withColumns({"m": F.count("*").over(group), "center": F.min("cls").over(group)}).filter("m > 1"), "shared")
 
     groups = shared.filter(F.col("m") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("members"))
     tiles = groups.select("members").mapInArrow(_bands(num, den), "tile long, cls long").dropDuplicates(["tile", "cls"]).withColumn("side", F.lit(0))
@@ -300,11 +301,10 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
 def _cluster_tiles(hot: DataFrame, num: int, den: int) -> DataFrame:
     """Tiles of the groups above SMALL: clusters of overlapping groups, as pairs of blocks of like size.
 
-    Nothing is gathered by group or cluster: a group's centre is an aggregate, and a cluster's
-    size band is dealt over as many blocks as its count asks for, by a hash of the class.
+    Nothing is gathered by group or cluster: a cluster's size band is dealt over as many blocks
+    as its count asks for, by a hash of the class.
     """
-    centers = hot.groupBy("token").agg(F.min("cls").alias("center"))
-    roots = components(hot.join(centers, "token").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct())
+    roots = components(hot.select(F.col("center").alias("a"), F.col("cls").alias("b")))
     size = hot.groupBy("cls").agg(F.max("n").alias("n"))
     banded = size.join(roots.select(F.col("id").alias("cls"), "root"), "cls").withColumn("band", F.floor(F.log("n") / F.lit(np.log(1.05).item())).cast("long"))
     blocks = banded.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))

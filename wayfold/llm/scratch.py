@@ -58,13 +58,28 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over texts in batches of at most ``TEXT_ROWS`` rows; a task's memory goes back when it ends."""
+#: What operators remember in a Python worker from task to task, by the operator's name.
+REMEMBERED_BY: dict[str, dict] = {}
+
+
+def forget_others(name: str) -> None:
+    for other, held in REMEMBERED_BY.items():
+        if other != name:
+            held.clear()
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str = "") -> DataFrame:
+    """``mapInArrow`` over texts in batches of at most ``TEXT_ROWS`` rows.
+
+    A task's memory goes back when it ends; what other operators than ``name`` have remembered
+    in the worker goes when it begins.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= TEXT_ROWS:
         conf.set(key, TEXT_ROWS)
 
     def trimmed(batches):
+        forget_others(name)
         try:
             yield from run(batches)
         finally:

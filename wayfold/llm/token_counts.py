@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import map_texts
+from .scratch import REMEMBERED_BY, map_texts
 
 #: The pre-token pattern of the rank files; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -137,6 +137,7 @@ def _merges(path: str) -> Merges:
 
 
 _seen: dict[str, dict[str, int]] = {}
+REMEMBERED_BY["token_counts"] = _seen
 
 
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
@@ -210,4 +211,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text_col: s
                 yield pa.RecordBatch.from_arrays([ids.slice(a, 512), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(texts, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(texts, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", "token_counts")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .scratch import fresh_dir, map_texts, materialize
+from .scratch import REMEMBERED_BY, fresh_dir, map_texts, materialize
 from .token_counts import segments
 
 REMEMBERED = 600_000
@@ -55,6 +55,7 @@ def _tokenizer(path: str) -> Tokenizer:
 
 #: For each vocabulary, pieces and their packed ids: the newer generation and the one before it.
 _seen: dict[str, list[dict[str, bytes]]] = {}
+REMEMBERED_BY["token_output"] = _seen
 
 
 class Encoder:
@@ -251,7 +252,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
         if writer:
             writer.close()
 
-    index = materialize(map_texts(ordered, encode, INDEX), "token-index")
+    index = materialize(map_texts(ordered, encode, INDEX, "token_output"), "token-index")
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return index.join(totals.select("shard", before.alias("before")), "shard").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
