@@ -136,3 +136,17 @@ def test_repeated_passages(spark):
         five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
         assert len(five(a) & five(b)) / len(five(a) | five(b)) == pytest.approx(x["similarity"])
     assert repeated_passages(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [64, 1])
+def test_later_partners_of_a_group(spark, monkeypatch, small):
+    """Every shingle of a passage is in an earlier document, in halves; only the last three hold the passage."""
+    from wayfold.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "SMALL", small, raising=False)
+    r = random.Random(17)
+    passage = prose(r, 60, 10**6)
+    docs = [(d, " ".join(prose(r, 30, 10**6) + (passage[:34] if d % 2 else passage[26:]) + prose(r, 30, 10**6))) for d in range(16)]
+    docs += [(d, " ".join(prose(r, 60, 10**6) + passage + prose(r, 60, 10**6))) for d in (20, 21, 22)]
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert {x["doc_id"] for x in rows} == {21, 22} and {x["kept_doc_id"] for x in rows if x["doc_id"] == 21} == {20}
