@@ -69,6 +69,18 @@ def test_answer_decides_paraphrases():
     assert item.common(seq) == 3
 
 
+def test_item_in_a_third_of_the_documents(spark):
+    r = random.Random(23)
+    items = [(i, " ".join(prose(r, 30))) for i in range(5)]
+    docs = []
+    for d in range(300):
+        w = prose(r, 60)
+        if d % 3 == 0:
+            w[20:20] = items[2][1].split()
+        docs.append((d, " ".join(w), "x"))
+    assert set(leaks(spark, docs, items)) == {(d, 2) for d in range(0, 300, 3)}
+
+
 def test_segment_sums():
     r = np.random.default_rng(1)
     table, index = r.normal(size=(20, 5)).astype(np.float32), r.integers(0, 20, 500)

@@ -31,6 +31,7 @@ from .scratch import map_texts, materialize
 STEP = 16
 RANK, OVER = 192, 32
 MAX_DF = 0.005
+FEWEST, RAREST, LEAST_WEIGHT = 4, 8, 0.1
 COSINE = 0.4
 SURE, LIKELY, ANSWER = 0.7, 0.5, 0.6
 BLOCK_ITEMS = 20_000
@@ -123,7 +124,7 @@ class Item:
         self.id, self.n = item_id, len(value)
         _, self.all = vocab.find(value)
         self.cols = self.all[weight[self.all] > 0]
-        self.plain = len(self.cols) < 4  # too few informative words: every word of the item counts
+        self.plain = len(self.cols) < FEWEST  # too few informative words: every word of the item counts
         if self.plain:
             self.cols = self.all
         self.masks: dict[int, int] = {}
@@ -217,9 +218,20 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
         return None
     df, total = summed[:-1], max(1, int(summed[-1]))
     weight = np.log((total + 1) / (df + 1)).astype(np.float32)
+    natural = np.maximum(weight, LEAST_WEIGHT)
     weight[df > max(MAX_DF * total, 20)] = 0
     kept = [Item(i, t, vocab.value, weight) for i, t in items]
     kept = [i for i in kept if i.n]
+    # an item that leaked often makes its own words frequent: the rarest words of such windows keep their weight
+    rare = []
+    for item in kept:
+        for win in item.windows(weight):
+            if np.count_nonzero(weight[win] > 0) < FEWEST:
+                own = np.unique(win)
+                rare.append(own[np.argsort(df[own], kind="stable")[:RAREST]])
+    if rare:
+        rare = np.unique(np.concatenate(rare))
+        weight[rare] = natural[rare]
     if not kept:
         return None
     if not (weight > 0).any():
