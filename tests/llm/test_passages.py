@@ -162,3 +162,19 @@ def test_later_partners_of_a_group(spark, monkeypatch, small):
     docs += [(d, " ".join(prose(r, 60, 10**6) + passage + prose(r, 60, 10**6))) for d in (20, 21, 22)]
     rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
     assert {x["doc_id"] for x in rows} == {21, 22} and {x["kept_doc_id"] for x in rows if x["doc_id"] == 21} == {20}
+
+
+@pytest.mark.parametrize(("size", "more"), [(50, 2), (60, 4), (70, 4), (70, 7)])
+def test_words_put_in_or_left_out(size, more):
+    from wayfold.llm.substring_dedup import shared_passages
+
+    r = np.random.default_rng(size + more)
+    word = r.integers(1, 1 << 40, size).tolist()
+    longer = word[: size // 2] + r.integers(1, 1 << 40, more).tolist() + word[size // 2 :]
+    number: dict[tuple, int] = {}
+    five = lambda w: np.array([number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)], np.uint64)
+    one, two = five(word), five(longer)
+    similar = len(set(one) & set(two)) / len(set(one) | set(two))
+    assert similar >= 0.8
+    for own, kept in ((one, two), (two, one)):
+        assert shared_passages(own, 0, len(own) - 1, kept, 46, 80, 100) == [(0, len(own) - 1, 0, len(kept) - 1, pytest.approx(similar))]
