@@ -59,3 +59,14 @@ def test_runs_cover_all_rows():
     assert list(runs(off, 8)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
     assert list(runs(np.array([0]), 8)) == []
     assert len(words(*buffers(pa.array([], pa.string())))[0]) == 0
+
+
+def test_structured_long_words_differ():
+    """Patterns whose sums cancel in a polynomial modulo a power of two, and words longer than one part."""
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    turned = thue.translate(str.maketrans("ab", "ba"))
+    found = [thue[:n] for n in (8, 64, 1024, 4096)] + [turned[:n] for n in (8, 64, 1024, 4096)] + [c * n for c in "xy" for n in (7, 8, 9, 511, 512, 513, 1024, 100_000, 100_001)] + ["q\0", "q", "q\0\0"]
+    value = words(*buffers(pa.array([" ".join(found)])))[0]
+    assert len(set(value.tolist())) == len(found)
+    again = words(*buffers(pa.array(["pad " * 3 + found[3].upper()])))[0]
+    assert again[-1] == value[3]

@@ -1,8 +1,8 @@
 """Vectorised text kernels over Arrow string buffers: no Python string is made per word.
 
 Words are maximal runs of bytes outside ``\\x20`` and ``\\x09``-``\\x0D``; A-Z are folded to
-a-z.  Both rules touch ASCII bytes only, so they are safe on UTF-8.  A word's 64-bit value is
-a polynomial over its bytes, taken from one prefix sum over the whole chunk, then mixed.
+a-z.  Both rules touch ASCII bytes only, so they are safe on UTF-8.  A word's 64-bit value
+takes in eight bytes at a time and is mixed after each step, for all words of a chunk at once.
 """
 
 from __future__ import annotations
@@ -27,13 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values() -> np.ndarray:
-    folded = np.arange(256, dtype=np.uint64)
-    folded[65:91] += _U(32)
-    return mix((folded + _U(1)) * _GOLD)
-
-
-BYTE_VALUE = _byte_values()
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -41,21 +36,38 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 IS_SEPARATOR = IS_SPACE.copy()
 IS_SEPARATOR[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
-_BASE = 0xD1342543DE82EF95
-_powers = np.ones(0, np.uint64)
-_inverse = np.ones(0, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown to the longest chunk seen."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, CHUNK_BYTES + (1 << 17))
-        for name, base in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps)
-    return _powers, _inverse
+_STEP = _U(0xD1342543DE82EF95)
+#: The first k of eight bytes, by k.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer ranges are valued part by part, so that no loop is longer than a part.
+_PART = 512
+
+
+def range_values(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit values of byte ranges; each step is a bijection of the bytes taken in, so no pattern of bytes cancels out."""
+    long = size > _PART
+    if long.any():
+        out = np.empty(len(size), np.uint64)
+        out[~long] = range_values(data, start[~long], size[~long])
+        s, n = start[long], size[long]
+        count = -(-n // _PART)
+        off = np.concatenate([[0], np.cumsum(count)])
+        inner = (np.arange(off[-1]) - np.repeat(off[:-1], count)) * _PART
+        parts = range_values(data, np.repeat(s, count) + inner, np.minimum(_PART, np.repeat(n, count) - inner))
+        out[long] = mix(range_values(parts.view(np.uint8), off[:-1] * 8, count * 8) ^ mix(n.astype(np.uint64) + _GOLD))
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    value = mix(size.astype(np.uint64) * _GOLD + _U(1))
+    live, at, left = slice(None), start, size
+    while True:
+        taken = eight[at] & _FIRST[np.minimum(left, 8)]
+        value[live] = mix((value[live] ^ taken) * _STEP + _GOLD)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return value
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SPACE
     end = ~space
     end[:-1] &= space[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    power, inverse = _tables(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_VALUE[data] * power[:n], out=sums[1:])
-    value = mix((sums[e] - sums[s]) * inverse[s])
+    value = range_values(FOLD[data], s, e - s)
     return value, s, e, np.searchsorted(s, offsets).astype(np.int64)
 
 
