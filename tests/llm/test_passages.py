@@ -5,7 +5,7 @@ import pytest
 
 from wayfold.llm import decontaminate as dc
 from wayfold.llm.decontaminate import leaked_documents
-from wayfold.llm.substring_dedup import compact_windows, longest, repeated_passages, sliding_minimum
+from wayfold.llm.substring_dedup import longest, minima, ordered, passages, repeated_passages, signature_windows, sliding_minimum, tree_intervals
 
 
 def prose(r, n, vocab=4000):
@@ -89,7 +89,8 @@ def test_segment_sums():
     assert np.allclose(dc.segment_sums(table, index, first), want, atol=1e-3)
 
 
-def windows_by_hand(h, t):
+def nodes_by_hand(h, t):
+    """Every passage of ``t`` or more, its minimum, and how far that minimum reaches."""
     out = set()
     for i in range(len(h)):
         for j in range(i + t - 1, len(h)):
@@ -99,23 +100,33 @@ def windows_by_hand(h, t):
                 lo -= 1
             while hi < len(h) - 1 and h[hi + 1] >= h[c]:
                 hi += 1
-            out.add((max(lo, c - t + 1), c, min(hi, c + t - 1)))
+            out.add((lo, c, hi))
     return out
 
 
 def test_compact_windows_are_the_wide_tree_nodes():
-    from wayfold.llm.bytetext import mix
-    from wayfold.llm.substring_dedup import _LOW, _seed
-
     r = np.random.default_rng(3)
-    for n, t in ((60, 7), (5, 7), (7, 7), (40, 1)):
+    for n, t in ((60, 7), (5, 7), (7, 7), (40, 1), (80, 9)):
         value = r.integers(0, 1 << 63, n).astype(np.uint64)
-        h = (mix(value + _seed(2)) & ~_LOW).tolist()
+        if n == 80:
+            value[10:30] = value[0]  # a repeated word: equal hashes go to the leftmost
+        h = [(ordered(value, f) >> np.uint64(20)).tolist() for f in (2, 3)]
         off = np.array([0, n // 2, n])
-        row, a, c, b = compact_windows(value, off, t, 2)
-        got = {(int(i), int(x), int(y), int(z)) for i, x, y, z in zip(row, a, c, b)}
-        want = {(i, *w) for i in (0, 1) for w in windows_by_hand(h[off[i] : off[i + 1]], t)}
-        assert got == want
+        start, of = passages(off, t)
+        _, at, c, least = minima(ordered(value, 2), start, of, t)
+        row = of[at]
+        a, b = tree_intervals(off, row, c, least)
+        got = {(int(i), int(x - off[i]), int(y - off[i]), int(z - off[i])) for i, x, y, z in zip(row, a, c, b)}
+        assert got == {(i, *w) for i in (0, 1) for w in nodes_by_hand(h[0][off[i] : off[i + 1]], t)}
+        # signatures: the two nodes of every passage of t shingles
+        want = set()
+        for i in (0, 1):
+            one, two = ({(x, y, z) for x, y, z in nodes_by_hand(p[off[i] : off[i + 1]], t)} for p in h)
+            for s in range(off[i + 1] - off[i] - t + 1):
+                held = [next(w for w in nodes if w[0] <= s and s + t - 1 <= w[2] and s <= w[1] < s + t) for nodes in (one, two)]
+                want.add((i, held[0][1], held[1][1], max(held[0][0], held[1][0]), min(held[0][2], held[1][2])))
+        row, key, c1, c2, lo, hi = signature_windows(value, off, start, of, t, 1)
+        assert {tuple(map(int, x)) for x in zip(row, c1, c2, lo, hi)} == want
     x = r.integers(0, 50, 33).astype(np.uint64)
     assert sliding_minimum(x, 5).tolist() == [int(x[i : i + 5].min()) for i in range(29)]
     assert longest(np.array([0, 1, 1, 0, 1, 1, 1, 0], bool), 1) == (1, 6) and longest(np.array([0, 1, 1, 0, 1, 0], bool), 9) == (1, 2) and longest(np.zeros(3, bool), 1) == (0, -1)
@@ -178,3 +189,70 @@ def test_words_put_in_or_left_out(size, more):
     assert similar >= 0.8
     for own, kept in ((one, two), (two, one)):
         assert shared_passages(own, 0, len(own) - 1, kept, 46, 80, 100) == [(0, len(own) - 1, 0, len(kept) - 1, pytest.approx(similar))]
+
+
+def exact_runs(docs, t=46):
+    """Documents that hold ``t`` shingles in a row which a smaller doc_id holds too, and their passages."""
+    first, later = {}, set()
+    for d, text in sorted(docs):
+        w = text.split()
+        for i in range(len(w) - t - 3):
+            run = tuple(w[i : i + t + 4])
+            if first.setdefault(run, d) != d:
+                later.add(d)
+    return later
+
+
+def pieced(r, d):
+    """Documents put together from common lines and passages, some with changed words."""
+    lines = [[f"l{k}w{i}" for i in range(12)] for k in range(6)]
+    passages = [[f"p{k}w{i}" for i in range(70)] for k in range(8)]
+    out = []
+    for _ in range(r.randint(1, 5)):
+        kind = r.random()
+        if kind < 0.4:
+            out += r.choice(lines)
+        elif kind < 0.6:
+            own = list(r.choice(passages))
+            if r.random() < 0.3:
+                own[r.randrange(70)] = f"c{d}"
+            out += own
+        else:
+            out += [f"d{d}x{r.randrange(10**6)}" for _ in range(r.randint(5, 80))]
+    return out
+
+
+def test_no_exact_run_is_missed_and_layout_does_not_matter(spark):
+    r = random.Random(31)
+    docs = [(d, " ".join(pieced(r, d))) for d in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(tuple, repeated_passages(frame.coalesce(1)).collect()))
+    other = sorted(map(tuple, repeated_passages(frame.orderBy("text").repartition(7)).collect()))
+    assert one == other
+    assert exact_runs(docs) <= {x[0] for x in one}
+
+
+def test_keeper_does_not_depend_on_files(spark):
+    passage = " ".join(prose(random.Random(1), 60, 10**6))
+    frame = spark.createDataFrame([(10, passage), (11, passage)], "doc_id long, text string").coalesce(1).union(spark.createDataFrame([(1, passage)], "doc_id long, text string").coalesce(1))
+    assert sorted((x["doc_id"], x["kept_doc_id"]) for x in repeated_passages(frame).collect()) == [(10, 1), (11, 1)]
+
+
+def test_near_passages_are_found(spark):
+    """Passages of 50 to 90 words in new surroundings; one or two words put in, left out or changed, at a similarity of 0.8 or more."""
+    r = random.Random(41)
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs, want = [], set()
+    for k in range(150):
+        passage = prose(r, r.randint(50, 90), 10**6)
+        near = list(passage)
+        for _ in range(r.randint(1, 2)):
+            at = r.randrange(len(near))
+            near[at : at + r.randint(0, 1)] = [f"n{k}"] if r.random() < 0.7 else []
+        a, b = five(passage), five(near)
+        for d, w in ((2 * k, passage), (2 * k + 1, near)):
+            docs.append((d, " ".join(prose(r, 80, 10**6) + w + prose(r, 80, 10**6))))
+        if len(a & b) / len(a | b) >= 0.8 and len(near) >= 50:
+            want.add(2 * k + 1)
+    got = {x["doc_id"] for x in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 80 and len(want & got) >= 0.95 * len(want)

@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch: whole texts have no fixed size, so Spark's 10,000 would be many MB.
-TEXT_ROWS = 1000
+#: Rows and bytes of one Arrow batch: whole texts have no fixed size, so Spark's 10,000 rows or 64 MB would be too much for several workers.
+TEXT_ROWS, TEXT_BYTES = 1000, 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -69,7 +69,7 @@ def forget_others(name: str) -> None:
 
 
 def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str = "") -> DataFrame:
-    """``mapInArrow`` over texts in batches of at most ``TEXT_ROWS`` rows.
+    """``mapInArrow`` over texts in batches of at most ``TEXT_ROWS`` rows and about ``TEXT_BYTES`` (a longer text is a batch of its own).
 
     A task's memory goes back when it ends; what other operators than ``name`` have remembered
     in the worker goes when it begins.
@@ -77,6 +77,7 @@ def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= TEXT_ROWS:
         conf.set(key, TEXT_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{TEXT_BYTES}b")
 
     def trimmed(batches):
         forget_others(name)
