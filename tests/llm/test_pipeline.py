@@ -70,6 +70,27 @@ def test_stages_on_odd_tables(spark):
     assert cp.write_tokens(spark, own.limit(0), DATA).count() == 0
 
 
+def test_rows_of_one_id_are_judged_each(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    a = " ".join(f"alpha{i}" for i in range(60))
+    b = " ".join(f"beta{i}" for i in range(40))
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (6, b + " and more", "y"), (7, b + " before " + item, "x"), (7, "short one", "x"), (7, None, None), (8, "two words", "x"), (8, "two words", "y"), (9, "the same", "x"), (9, "the same", "x")]
+    docs = spark.createDataFrame([(d, t, "en", s, 1, "k") for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int, stage_key string")
+    left = lambda stage: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, DATA).collect()), key=repr)
+    once = [(3, a), (7, b + " before " + item), (7, "short one"), (7, None), (8, "two words"), (9, "the same")]
+    near = left(cp.drop_near_duplicates)
+    # of the two near texts of b, the one under the smaller key stays
+    assert [r for r in near if r[1] in (b, b + " and more")] in ([(5, b)], [(6, b + " and more")])
+    assert sorted((r for r in near if r[1] not in (b, b + " and more")), key=repr) == sorted(once, key=repr)
+    assert left(cp.drop_leaks) == sorted(((d, t) for d, t, _ in rows if t is None or item not in t), key=repr)
+    # enough of another source for every row of x and y to be taken three times
+    more = spark.createDataFrame([(1000 + i, "w " * 400, "en", "z", 1, "k") for i in range(40)], docs.schema)
+    taken = {}
+    for r in cp.mix(spark, docs.union(more), DATA).filter("doc_id < 1000").collect():
+        taken[r["doc_id"], r["text"], r["source"]] = taken.get((r["doc_id"], r["text"], r["source"]), 0) + 1
+    assert taken == {(d, t, s): 3 * sum(x == (d, t, s) for x in rows) for d, t, s in rows if t}
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_output"]

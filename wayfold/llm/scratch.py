@@ -15,12 +15,14 @@ TEXT_ROWS, TEXT_BYTES = 1000, 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(root)
     return root
