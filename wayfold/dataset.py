@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.wkt import to_wkb, to_wkt
+from .functions.wkt import to_ewkb, to_wkb, to_wkt
 from .operators.geometry import gather, node_geometry, point_lookup, way_geometry
 from .operators.geotype import relation_geotype, way_geotype
 from .operators.relations import member_rows, relation_geometry, without_members
@@ -13,13 +15,14 @@ from .operators.tags import tag_columns, wide_tags
 from .operators.topology import segment_refs
 from .plans.predicate import compile_predicate, of_ids, of_relation_type, pushable
 from .plans.query import OsmQuery
-from .schema import AREA, LINE, NODE, POINT, RELATION, WAY
+from .schema import AREA, LINE, NODE, POINT, RELATION, SRID, WAY
 from .sources.pbf import blob_counts, features, read_pbf
 from .sources.tables import read_tables, write_tables
 
 META = ["changeset", "timestamp", "version"]
 #: Forms of the geometry column.
-FORMS = ("wkb", "wkt", "parts")
+FORMS = ("wkb", "wkt", "ewkb", "ewkt", "parts")
+CODES = {"nodes": NODE, "ways": WAY, "relations": RELATION}
 
 
 class OsmDataset:
@@ -102,65 +105,66 @@ class OsmDataset:
 
     def elements(self, q: OsmQuery) -> DataFrame:
         """Union of the selected elements: ``osmid, osmtype, tags, version, timestamp, changeset, geom``."""
-        codes = {"nodes": NODE, "ways": WAY, "relations": RELATION}
-        union = None
-        for kind, frame in self.select(q).items():
-            part = frame.select("osmid", F.lit(codes[kind]).alias("osmtype"), "tags", *META, "geom")
-            union = part if union is None else union.unionByName(part)
-        if union is None:
-            empty = self.ways.limit(0).select(F.col("id").alias("osmid"), F.lit(WAY).alias("osmtype"), "tags", *META)
-            union = empty.withColumn("geom", F.lit(0))
-        return union
-
-    def query(self, q: OsmQuery, form: str = "wkb", wide: bool = False, complex_rings: str = "drop_inner") -> DataFrame:
+        found = [frame.select("osmid", F.lit(CODES[kind]).alias("osmtype"), "tags", *META, "geom") for kind, frame in self.select(q).items()]
+        if found:
+            return reduce(DataFrame.unionByName, found)
+        empty = self.ways.limit(0).select(F.col("id").alias("osmid"), F.lit(WAY).alias("osmtype"), "tags", *META)
+        return empty.withColumn("geom", F.lit(0))
+
+    def query(self, q: OsmQuery, form: str = "wkb", wide: bool = False, complex_rings: str = "drop_inner", ordered: bool = False) -> DataFrame:
         """The result of a query: one row for each element, segment (topology) or member (relations without geometry).
 
-        The key is (osmtype, osmid); no order is implied.  A list of tags makes one column for
-        each key, all tags stay one map column unless ``wide``.  ``form`` is the geometry's:
-        WKB, WKT, or ``parts`` with ``kind``.
+        The key is (osmtype, osmid); no order is implied unless ``ordered``.  A list of tags makes one column for
+        each key (``tag_`` before it where the result has a column of that name), all tags stay one map column
+        unless ``wide``.  ``form`` is the geometry's: WKB, WKT, the same with the reference system's
+        number (EWKB, EWKT; coordinates are WGS 84, 4326), or ``parts`` with ``kind``.
         """
         if form not in FORMS:
             raise ValueError(f"form must be one of {', '.join(FORMS)}")
         chosen = self.select(q)
-        base = self.elements(q).select("osmid", "osmtype", *(META if q.metadata else []), "tags")
+        carry = [*(META if q.metadata else []), *(["tags"] if q.tags is not False else [])]
         if q.topology:
-            base = base.join(self._segments(chosen["ways"]), ["osmtype", "osmid"], "inner")
+            found = [self._segments(chosen["ways"], carry)]
         elif q.geometry:
-            base = base.join(self._geometry(chosen, complex_rings), ["osmtype", "osmid"], "left")
-        elif "relations" in chosen:
-            members = member_rows(chosen["relations"]).join(chosen["relations"].select("osmid", "geom"), "osmid").withColumn("osmtype", F.lit(RELATION))
-            base = base.join(members, ["osmtype", "osmid"], "left")
+            found = [self._geometry(kind, frame, carry, complex_rings).withColumn("osmtype", F.lit(CODES[kind])) for kind, frame in chosen.items()]
+        else:
+            found = [self._plain(kind, frame, carry) for kind, frame in chosen.items()]
+        if not found:
+            found = [self.elements(q).select("osmtype", "osmid", *carry)]
+        base = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)
+        base = base.select("osmtype", "osmid", *carry, *[c for c in base.columns if c not in {"osmtype", "osmid", *carry}])
         if q.geometry:
             base = _formed(base, form)
-        if q.tags is False:
-            return base.drop("tags")
         if q.tags is True:
-            return wide_tags(base, [c for c in base.columns if c != "tags"]) if wide else base
-        return tag_columns(base, q.tags)
-
-    def _geometry(self, chosen: dict[str, DataFrame], complex_rings: str) -> DataFrame:
-        parts = []
-        if "nodes" in chosen:
-            parts.append(node_geometry(chosen["nodes"].withColumnRenamed("osmid", "id")).withColumn("osmtype", F.lit(NODE)))
-        if "ways" in chosen:
-            parts.append(way_geometry(chosen["ways"], self.nodes).withColumn("osmtype", F.lit(WAY)))
-        if "relations" in chosen:
-            parts.append(relation_geometry(chosen["relations"].filter(F.col("geom").isin(LINE, AREA)), self.ways, self.nodes, complex_rings).withColumn("osmtype", F.lit(RELATION)))
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        return union
-
-    def _segments(self, ways: DataFrame) -> DataFrame:
-        cut = segment_refs(ways)
-        lines = gather(cut.select("osmid", "seg", "refs"), self.nodes, ["osmid", "seg"])
+            base = wide_tags(base, [c for c in base.columns if c != "tags"]) if wide else base
+        elif q.tags is not False:
+            base = tag_columns(base, q.tags)
+        return base.orderBy("osmid", "osmtype") if ordered else base
+
+    def _plain(self, kind: str, frame: DataFrame, carry: list[str]) -> DataFrame:
+        """Elements without geometry; relations as one row for each member."""
+        own = frame.select("osmid", F.lit(CODES[kind]).alias("osmtype"), *carry, *(["members", "geom"] if kind == "relations" else []))
+        return member_rows(own, carry=["osmtype", *carry, "geom"]) if kind == "relations" else own
+
+    def _geometry(self, kind: str, frame: DataFrame, carry: list[str], complex_rings: str) -> DataFrame:
+        if kind == "nodes":
+            return node_geometry(frame, carry)
+        if kind == "ways":
+            return way_geometry(frame, self.nodes, carry)
+        drawn = relation_geometry(frame.filter(F.col("geom").isin(LINE, AREA)), self.ways, self.nodes, complex_rings)
+        return frame.select("osmid", *carry).join(drawn, "osmid", "left")
+
+    def _segments(self, ways: DataFrame, carry: list[str]) -> DataFrame:
+        lines = gather(segment_refs(ways, carry=carry), self.nodes, ["osmid", "seg"], carry=["source", "target", *carry])
         good = F.size("points") >= 2
-        drawn = cut.select("osmid", "seg", "source", "target").join(lines, ["osmid", "seg"], "left")
-        return drawn.select("osmid", F.lit(WAY).alias("osmtype"), "seg", "source", "target", F.when(good, "LINESTRING").alias("kind"), F.when(good, F.array(F.array("points"))).alias("parts"), "missing_refs")
+        return lines.select("osmid", F.lit(WAY).alias("osmtype"), *carry, "seg", "source", "target", F.when(good, "LINESTRING").alias("kind"), F.when(good, F.array(F.array("points"))).alias("parts"), "missing_refs")
 
 
 def _formed(frame: DataFrame, form: str) -> DataFrame:
     if form == "parts":
         return frame
-    made = to_wkt() if form == "wkt" else to_wkb(F.col("kind"), F.col("parts"))
+    if form.endswith("wkt"):
+        made = to_wkt() if form == "wkt" else F.concat(F.lit(f"SRID={SRID};"), to_wkt())
+    else:
+        made = (to_wkb if form == "wkb" else to_ewkb)(F.col("kind"), F.col("parts"))
     return frame.withColumn("geometry", made).drop("kind", "parts")

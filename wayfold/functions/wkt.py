@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import SRID
+
 #: Geometry type numbers of the WKB format.
 WKB_KIND = {"POINT": 1, "LINESTRING": 2, "POLYGON": 3, "MULTIPOINT": 4, "MULTILINESTRING": 5, "MULTIPOLYGON": 6}
 
@@ -49,3 +51,14 @@ def wkb(kind: str | None, parts) -> bytes | None:
 @F.arrow_udf(T.BinaryType())
 def to_wkb(kind: pa.Array, parts: pa.Array) -> pa.Array:
     return pa.array([wkb(k, p) for k, p in zip(kind.to_pylist(), parts.to_pylist(), strict=True)], pa.binary())
+
+
+def ewkb(kind: str | None, parts) -> bytes | None:
+    """WKB whose type number is marked and followed by the reference system's number."""
+    plain = wkb(kind, parts)
+    return None if plain is None else plain[:1] + struct.pack("<II", WKB_KIND[kind] | 0x20000000, SRID) + plain[5:]
+
+
+@F.arrow_udf(T.BinaryType())
+def to_ewkb(kind: pa.Array, parts: pa.Array) -> pa.Array:
+    return pa.array([ewkb(k, p) for k, p in zip(kind.to_pylist(), parts.to_pylist(), strict=True)], pa.binary())

@@ -17,16 +17,20 @@ def point_lookup(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "lon", "lat").orderBy("id")
 
 
-def gather(lists: DataFrame, nodes: DataFrame, keys: list[str], refs: str = "refs") -> DataFrame:
-    """``keys, points, missing_refs``: references replaced by coordinates, in order; unknown nodes drop out.
+def gather(lists: DataFrame, nodes: DataFrame, keys: list[str], refs: str = "refs", carry: list[str] | None = None) -> DataFrame:
+    """``keys, carry, points, missing_refs``: references replaced by coordinates, in order; unknown nodes drop out.
 
-    Only nodes that are referenced meet the join; AQE picks broadcast or sort-merge by size.
+    Columns to ``carry`` travel with the first reference only, so no join brings them back.
+    AQE picks broadcast or sort-merge by size, and splits the references of a hub node.
     """
-    flat = lists.select(*keys, F.posexplode(refs).alias("__at", "__ref"))
+    carry = carry or []
+    flat = lists.select(*keys, *carry, F.posexplode(refs).alias("__at", "__ref"))
+    flat = flat.withColumns({c: F.when(F.col("__at") == 0, F.col(c)) for c in carry}) if carry else flat
     placed = flat.join(nodes.select(F.col("id").alias("__ref"), "lon", "lat"), "__ref", "left")
     found = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.struct("__at", "lon", "lat"))
-    grouped = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(found)).alias("p"), F.count(F.when(found.isNull(), 1)).alias("missing_refs"))
-    return grouped.select(*keys, F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("points"), "missing_refs")
+    held = [F.first(c, ignorenulls=True).alias(c) for c in carry]
+    grouped = placed.groupBy(*keys).agg(*held, F.array_sort(F.collect_list(found)).alias("p"), F.count(F.when(found.isNull(), 1)).alias("missing_refs"))
+    return grouped.select(*keys, *carry, F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("points"), "missing_refs")
 
 
 def close_ring(ring: Column) -> Column:
@@ -34,18 +38,19 @@ def close_ring(ring: Column) -> Column:
     return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
-def way_geometry(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``osmid, kind, parts, missing_refs`` of ways by their ``geom`` code; null parts when too few points remain."""
-    gathered = gather(ways.filter(F.col("geom").isin(LINE, AREA)), nodes, ["osmid", "geom"])
+def way_geometry(ways: DataFrame, nodes: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``osmid, carry, kind, parts, missing_refs`` of ways by their ``geom`` code; null parts when too few points remain."""
+    carry = carry or []
+    gathered = gather(ways.filter(F.col("geom").isin(LINE, AREA)), nodes, ["osmid"], carry=["geom", *carry])
     n, area = F.size("points"), F.col("geom") == AREA
     good = F.when(area, n >= 3).otherwise(n >= 2)
     ring = F.when(area, close_ring(F.col("points"))).otherwise(F.col("points"))
-    return gathered.select("osmid", F.when(good, F.when(area, "POLYGON").otherwise("LINESTRING")).alias("kind"), F.when(good, F.array(F.array(ring))).alias("parts"), "missing_refs")
+    return gathered.select("osmid", *carry, F.when(good, F.when(area, "POLYGON").otherwise("LINESTRING")).alias("kind"), F.when(good, F.array(F.array(ring))).alias("parts"), "missing_refs")
 
 
-def node_geometry(nodes: DataFrame) -> DataFrame:
+def node_geometry(nodes: DataFrame, carry: list[str] | None = None) -> DataFrame:
     at = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.array(F.array(F.array(F.struct("lon", "lat")))))
-    return nodes.select(F.col("id").alias("osmid"), F.when(at.isNotNull(), "POINT").alias("kind"), at.alias("parts"), F.lit(0).cast("long").alias("missing_refs"))
+    return nodes.select("osmid", *(carry or []), F.when(at.isNotNull(), "POINT").alias("kind"), at.alias("parts"), F.lit(0).cast("long").alias("missing_refs"))
 
 
 def point_in_ring(ring: Column, lon: Column, lat: Column) -> Column:

@@ -10,11 +10,12 @@ from .geometry import collect_parts, drop_complex, gather, multi_kind, polygons
 from .rings import assemble_rings
 
 
-def member_rows(relations: DataFrame, outer: bool = True) -> DataFrame:
-    """One row for each member in order: ``osmid, pos, memid, type, role``."""
+def member_rows(relations: DataFrame, outer: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """One row for each member in order: ``osmid, carry, pos, memid, type, role``."""
+    carry = carry or []
     expand = F.posexplode_outer if outer else F.posexplode
-    rows = relations.select("osmid", expand("members").alias("pos", "m"))
-    return rows.select("osmid", "pos", F.col("m.ref").alias("memid"), F.col("m.type").alias("type"), F.col("m.role").alias("role"))
+    rows = relations.select("osmid", *carry, expand("members").alias("pos", "m"))
+    return rows.select("osmid", *carry, "pos", F.col("m.ref").alias("memid"), F.col("m.type").alias("type"), F.col("m.role").alias("role"))
 
 
 def member_ways(relations: DataFrame, ways: DataFrame) -> DataFrame:

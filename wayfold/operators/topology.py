@@ -25,7 +25,7 @@ def split_points(refs: DataFrame, way: str = "osmid") -> DataFrame:
     """References where a segment starts or ends.
 
     Use counts are partial-aggregated before the shuffle and joined back as the few shared
-    nodes, so a hub node is one row, not a window partition of all its references.
+    nodes; no window gathers a node's references, and AQE splits those of a hub in the join.
     """
     marked = refs.join(shared_nodes(refs), "node", "left")
     return marked.filter((F.col("pos") == 1) | (F.col("pos") == F.col("n")) | F.col("uses").isNotNull()).select(way, "n", "pos", "node")
@@ -47,6 +47,8 @@ def segments(ways: DataFrame, way: str = "osmid", refs: str = "refs") -> DataFra
     return cut.filter("to_pos is not null")
 
 
-def segment_refs(ways: DataFrame, way: str = "osmid", refs: str = "refs") -> DataFrame:
-    """Segments with their own references, cut from the way's array."""
-    return segments(ways, way, refs).join(ways.select(way, refs), way).select(way, "seg", "source", "target", F.slice(F.col(refs), F.col("from_pos"), F.col("to_pos") - F.col("from_pos") + 1).alias(refs))
+def segment_refs(ways: DataFrame, way: str = "osmid", refs: str = "refs", carry: list[str] | None = None) -> DataFrame:
+    """Segments with their own references, cut from the way's array, and the way's columns to ``carry``."""
+    carry = carry or []
+    own = F.slice(F.col(refs), F.col("from_pos"), F.col("to_pos") - F.col("from_pos") + 1).alias(refs)
+    return segments(ways, way, refs).join(ways.select(way, refs, *carry), way).select(way, "seg", "source", "target", own, *carry)
