@@ -144,7 +144,9 @@ class OsmDataset:
     def _plain(self, kind: str, frame: DataFrame, carry: list[str]) -> DataFrame:
         """Elements without geometry; relations as one row for each member."""
         own = frame.select("osmid", F.lit(CODES[kind]).alias("osmtype"), *carry, *(["members", "geom"] if kind == "relations" else []))
-        return member_rows(own, carry=["osmtype", *carry, "geom"]) if kind == "relations" else own
+        if kind != "relations":
+            return own
+        return member_rows(own, carry=["osmtype", *carry, "geom"]).select("osmid", "osmtype", *carry, "pos", "memid", "type", "role", "geom")
 
     def _geometry(self, kind: str, frame: DataFrame, carry: list[str], complex_rings: str) -> DataFrame:
         if kind == "nodes":

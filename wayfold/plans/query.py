@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, fields, replace
+from dataclasses import dataclass, fields, replace
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from .rules import DEFAULTS
 
 Filter = Mapping[str, Sequence[str]]
@@ -47,8 +49,8 @@ class OsmQuery:
     exclude: Filter | None = None
     keep_first: bool = True
     tags: bool | Sequence[str] = True
-    node_ids: Sequence[int] | None = None
-    way_ids: Sequence[int] | None = None
+    node_ids: Sequence[int] | DataFrame | None = None
+    way_ids: Sequence[int] | DataFrame | None = None
     relation_type: Sequence[str] | None = None
     metadata: bool = False
     geometry: bool = False
@@ -59,7 +61,8 @@ class OsmQuery:
         put = lambda name, value: object.__setattr__(self, name, value)
         for name in ("must_tags", "node_ids", "way_ids", "relation_type"):
             value = getattr(self, name)
-            put(name, None if value is None else tuple(dict.fromkeys(value)))
+            # a table of ids stays a table
+            put(name, value if value is None or isinstance(value, DataFrame) else tuple(dict.fromkeys(value)))
         for name in ("keep", "exclude"):
             value = getattr(self, name)
             put(name, None if value is None else {k: tuple(v) for k, v in value.items()})
@@ -114,7 +117,7 @@ class OsmQuery:
         return replace(self, **change)
 
     def as_dict(self) -> dict[str, Any]:
-        return asdict(self)
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def all_strings(self) -> set[str]:
         """Every key and value that the query names."""

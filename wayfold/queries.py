@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dataset import OsmDataset
 from .functions.json import expand_json
 from .functions.text import comparable_string
 from .functions.wkt import to_wkt
@@ -17,7 +21,8 @@ from .operators.tags import tag_rows, wide_tags
 from .operators.topology import end_values, segments, shared_nodes, way_refs
 from .plans.query import OsmQuery
 from .sources import starview
-from .sources.places import first_wins
+from .sources.pbf_sink import shared_folder, write_pbf
+from .sources.places import Places, first_wins, from_city_list, from_json_index
 
 COLUMNS = ["status", "priority", "kind"]
 
@@ -35,6 +40,12 @@ def _ask(**options) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: starview.dataset(spark, sf_dir).query(q)
 
 
+def id_whitelist(spark, sf_dir):
+    """Ways whose ids a whole table lists: the customers' numbers."""
+    listed = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return starview.dataset(spark, sf_dir).query(OsmQuery(ways=True, tags=COLUMNS, way_ids=listed))
+
+
 def tags_long(spark, sf_dir):
     return tag_rows(_ways(spark, sf_dir), ["osmid"]).groupBy("key", "value").agg(F.count("*").alias("n"))
 
@@ -167,10 +178,13 @@ def json_rows(spark, sf_dir):
 
 
 def first_wins_union(spark, sf_dir):
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    one = nation.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), F.concat(F.lit("a/"), "n_name").alias("url"))
-    two = nation.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.concat(F.lit("b/"), "n_name").alias("url"))
-    three = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("name"), F.concat(F.lit("c/"), "r_name").alias("url"))
+    """Three whole tables that share names: suppliers' nations, all nations, all regions and nations."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    used = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    url = lambda prefix, c: F.concat(F.lit(prefix), c).alias("url")
+    one = nation.join(used, "n_nationkey", "left_semi").select(F.col("n_name").alias("name"), url("a/", "n_name"))
+    two = nation.select(F.col("n_name").alias("name"), url("b/", "n_name"))
+    three = region.select(F.col("r_name").alias("name"), url("c/", "r_name"))
     return first_wins(one, two, three)
 
 
@@ -200,11 +214,99 @@ def strings(spark, sf_dir):
 
 
 def relation_areas(spark, sf_dir):
-    """Areas from rings chained out of open ways: an ordered search that SQL does not express."""
+    """Areas from rings chained out of open ways."""
     q = OsmQuery(relations=True, geometry=True, tags=["type"], relation_type=["multipolygon", "boundary"])
     return starview.dataset(spark, sf_dir).query(q, form="wkt")
 
 
+def relation_rows(spark, sf_dir):
+    """Relations of two types without geometry: one row for each member, beside a tag that is named like a column."""
+    q = OsmQuery(relations=True, tags=["type"], relation_type=["route", "boundary"])
+    found = starview.dataset(spark, sf_dir).query(q)
+    return found.select("osmid", F.col("pos").cast("long").alias("pos"), "memid", "type", "role", "geom", "tag_type")
+
+
+def point_geometry(spark, sf_dir):
+    """Nodes with a tag as points, with the reference system's number."""
+    q = OsmQuery(nodes=True, geometry=True, keep={"brand": []}, exclude={"size": ["1", "2", "3"]}, tags=["brand"])
+    return starview.dataset(spark, sf_dir).query(q, form="ewkt").select("osmid", "brand", "geometry", "missing_refs")
+
+
+def _extract(spark, sf_dir) -> OsmDataset:
+    """The view written as ``.osm.pbf`` files and opened from there."""
+    data = starview.dataset(spark, sf_dir)
+    folder = shared_folder(spark, "extract")
+    write_pbf({"nodes": data.nodes, "ways": data.ways, "relations": data.relations}, folder)
+    return OsmDataset.from_pbf(spark, folder)
+
+
+def _flat(tags):
+    entries = F.array_sort(F.map_entries(tags))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+def extract_nodes(spark, sf_dir):
+    return _extract(spark, sf_dir).nodes.select("id", "lon", "lat", _flat(F.col("tags")).alias("tags"), "version", "changeset")
+
+
+def extract_ways(spark, sf_dir):
+    edited = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("edited")
+    return _extract(spark, sf_dir).ways.select("id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"), _flat(F.col("tags")).alias("tags"), F.col("version").cast("long").alias("version"), edited, "changeset")
+
+
+def extract_relations(spark, sf_dir):
+    rows = _extract(spark, sf_dir).relations.select("id", _flat(F.col("tags")).alias("tags"), F.posexplode("members").alias("pos", "m"))
+    return rows.select("id", "tags", F.col("pos").cast("long").alias("pos"), F.col("m.ref").alias("ref"), F.col("m.type").alias("type"), F.col("m.role").alias("role"))
+
+
+def extract_info(spark, sf_dir):
+    """Counts of elements; that every kind has blocks stands for their number, which follows the tasks."""
+    found = _extract(spark, sf_dir).info()
+    return found.select("kind", "elements", "tagged", (F.col("blocks") > 0).alias("has_blocks"))
+
+
+def extract_features(spark, sf_dir):
+    found = _extract(spark, sf_dir).features
+    return spark.createDataFrame([(kind, name) for kind, names in found.items() for name in names], "kind string, feature string")
+
+
+def extract_topology(spark, sf_dir):
+    q = OsmQuery(ways=True, geometry=True, topology=True, keep={"status": ["O", "P"]}, tags=["status", "source"])
+    found = _extract(spark, sf_dir).query(q, form="parts")
+    return found.select("osmid", "seg", "source", "target", "status", "tag_source", F.size(F.element_at(F.element_at("parts", 1), 1)).cast("long").alias("npts"))
+
+
+def _places(spark, sf_dir) -> Places:
+    """Two catalogues from files: the nations as a JSON index, the regions and some nations as a city list."""
+    folder = shared_folder(spark, "places")
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    own = F.struct(F.struct(F.col("n_name").alias("name"), F.struct(F.concat(F.lit("one/"), "n_name").alias("pbf")).alias("urls")).alias("properties"))
+    index = nation.filter("n_regionkey < 3").agg(F.to_json(F.struct(F.collect_list(own).alias("features"))).alias("value"))
+    index.coalesce(1).write.text(f"{folder}/index")
+    names = nation.select(F.col("n_name").alias("n")).union(region.select("r_name"))
+    lines = names.agg(F.array_sort(F.collect_list("n")).alias("n")).select(F.array_join(F.concat(F.array_repeat(F.lit("# head"), 5), F.transform("n", lambda x: F.concat(x, F.lit(":1:2"))), F.array_repeat(F.lit("# foot"), 8)), "\n").alias("value"))
+    lines.coalesce(1).write.text(f"{folder}/list")
+    return Places(from_json_index(spark, f"{folder}/index", "one"), from_city_list(spark, f"{folder}/list", "two", "two/{}.osm.pbf"))
+
+
+def place_catalogue(spark, sf_dir):
+    return _places(spark, sf_dir).frame.select("name", F.element_at("urls", 1).alias("url"), F.size("urls").cast("long").alias("urls"), "provider")
+
+
+def place_files(spark, sf_dir):
+    """Files saved by an injected transport, read back."""
+    places = _places(spark, sf_dir)
+    folder = tempfile.mkdtemp(prefix="wayfold-")  # files of the driver, read on the driver
+    names = sorted(r[0] for r in places.valid_names().collect())  # a catalogue of places
+    saved = places.download(folder, names, lambda url: f"content of {url}".encode(), rename=[n.replace(" ", "_") for n in names])
+    rows = []
+    for name, path in zip(names, saved, strict=True):
+        with open(path, "rb") as f:
+            rows.append((name, os.path.basename(path), f.read().decode()))
+    shutil.rmtree(folder)
+    return spark.createDataFrame(rows, "name string, file string, content string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q01_must_tags": _ask(must_tags=["priority"]),
     "q02_keep_pairs": _ask(keep={"status": ["O", "P"]}),
@@ -213,7 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q05_keep_first_false": _ask(keep_first=False, exclude={"status": ["F"]}, keep={"kind": ["PROMO"]}),
     "q06_tag_columns": _ask(tags=["status", "priority", "absent"]),
     "q07_tags_long": tags_long,
-    "q08_id_whitelist": _ask(way_ids=range(0, 20_000, 7)),
+    "q08_id_whitelist": id_whitelist,
     "q09_geometry_points": geometry_points,
     "q10_way_bbox": way_bbox,
     "q11_way_length": way_length,
@@ -242,4 +344,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q34_strings": strings,
     "q35_json_rows": json_rows,
     "q36_relation_areas": relation_areas,
+    "q37_extract_nodes": extract_nodes,
+    "q38_extract_ways": extract_ways,
+    "q39_extract_relations": extract_relations,
+    "q40_extract_info": extract_info,
+    "q41_extract_features": extract_features,
+    "q42_extract_topology": extract_topology,
+    "q43_place_catalogue": place_catalogue,
+    "q44_place_files": place_files,
+    "q45_relation_rows": relation_rows,
+    "q46_point_geometry": point_geometry,
 }
