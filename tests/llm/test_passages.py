@@ -81,6 +81,31 @@ def test_item_in_a_third_of_the_documents(spark):
     assert set(leaks(spark, docs, items)) == {(d, 2) for d in range(0, 300, 3)}
 
 
+def test_item_of_common_words_only(spark):
+    """Every word of the item stands in a tenth or more of all passages; one document holds it verbatim."""
+    r = random.Random(29)
+    common = [f"c{i}" for i in range(60)]
+    text = lambda n: " ".join(r.choice(common) if r.random() < 0.7 else f"t{r.randrange(4000)}" for _ in range(n))
+    items = [(1, " ".join(r.choice(common) for _ in range(34))), (2, " ".join(prose(r, 30)))]
+    docs = [(d, text(80) + (" " + items[0][1] + " " + text(40) if d == 500 else ""), "x") for d in range(800)]
+    assert leaks(spark, docs, items) == [(500, 1)]
+
+
+def test_sums_have_a_bounded_fan_in(spark, monkeypatch):
+    from wayfold.llm import scratch
+
+    monkeypatch.setattr(scratch, "FAN_IN", 3)
+
+    def run(batches):
+        n = sum(b.num_rows for b in batches)
+        yield scratch.packed_row(0, np.array([n, 1]))
+        yield scratch.packed_row(5, np.array([2 * n]))
+
+    got = scratch.sum_arrays(spark.range(0, 100, 1, 29).mapInArrow(run, "part int, task int, body binary"), "int64")
+    assert {k: v.tolist() for k, v in got.items()} == {0: [100, 29], 5: [200]}
+    assert scratch.sum_arrays(spark.createDataFrame([], "part int, task int, body binary"), "int64") == {}
+
+
 def test_segment_sums():
     r = np.random.default_rng(1)
     table, index = r.normal(size=(20, 5)).astype(np.float32), r.integers(0, 20, 500)

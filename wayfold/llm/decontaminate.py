@@ -17,16 +17,14 @@ larger than ``BLOCK_ITEMS`` items are searched block by block, one set of scans
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import IS_SEPARATOR, buffers, runs, words
-from .scratch import map_texts, materialize
+from .scratch import map_texts, materialize, packed_row, sum_arrays
 
 STEP = 16
 RANK, OVER = 192, 32
@@ -89,22 +87,6 @@ def _entries(column: pa.Array, vocab: Vocabulary):
         yield a, b, row, place - word_off[row], col, np.diff(word_off)
 
 
-def _sum_rows(parts: DataFrame, kind: str) -> np.ndarray | None:
-    """Sum of the tasks' arrays of one fixed size, in two levels; ``parts`` has task and body."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), kind) for x in table.column("body").to_pylist())
-        return pa.table({"task": pa.array([0], pa.int32()), "body": pa.array([zlib.compress(total.astype(kind).tobytes(), 1)], pa.binary())})
-
-    schema = "task int, body binary"
-    rows = parts.withColumn("task", F.expr("pmod(task, 64)")).groupBy("task").applyInArrow(add, schema).groupBy("task").applyInArrow(add, schema).toArrow().to_pylist()
-    return np.frombuffer(zlib.decompress(rows[0]["body"]), kind) if rows else None
-
-
-def _row(body: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(body.tobytes(), 1)], pa.binary())], ["task", "body"])
-
-
 def segment_sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``table[index]`` from each ``first`` to the next: all segments' k-th rows at once, long tails alone."""
     count = np.diff(np.append(first, len(index)))
@@ -211,9 +193,9 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
                     new = np.ones(len(c), bool)
                     new[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
                     df += np.bincount(c[new], minlength=n)
-        yield _row(np.concatenate([df, [total]]))
+        yield packed_row(0, np.concatenate([df, [total]]))
 
-    summed = _sum_rows(map_texts(texts.select("text"), frequencies, "task int, body binary"), "int64")
+    summed = sum_arrays(map_texts(texts.select("text"), frequencies, "part int, task int, body binary"), "int64").get(0)
     if summed is None:
         return None
     df, total = summed[:-1], max(1, int(summed[-1]))
@@ -259,9 +241,9 @@ def _search(texts: DataFrame, items: list[tuple[int, str]], schema: str) -> Data
                 live = w.value[col] > 0
                 if live.any():
                     gram(((row << 40) + at // (2 * STEP))[live], col[live], y)
-        yield _row(y.astype(np.float32))
+        yield packed_row(0, y.astype(np.float32))
 
-    y = _sum_rows(map_texts(texts.select("text"), ranges, "task int, body binary"), "float32").astype(np.float64).reshape(n, width)
+    y = sum_arrays(map_texts(texts.select("text"), ranges, "part int, task int, body binary"), "float32")[0].astype(np.float64).reshape(n, width)
     windows = [(k, win) for k, item in enumerate(kept) for win in item.windows(weight)]
     own = np.zeros((n, width))
     cols = np.concatenate([win for _, win in windows])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import buffers, distinct_sorted, mix, runs, shingles, words
 from .components import components
-from .scratch import map_texts, materialize
+from .scratch import map_texts, materialize, sum_arrays
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
@@ -80,13 +80,13 @@ def _place(value: np.ndarray) -> np.ndarray:
 
 def _describe(n: int):
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint64)
         task = TaskContext.get().partitionId()
         names = ["doc_id", "n", "cls", "bits", "part", "task", "counts"]
         for batch in batches:
             ids = batch.column(0)
             for a, b, value, off in _sets(batch.column(1), n):
-                counts += np.bincount(_place(value), minlength=len(counts)).astype(np.uint32)
+                counts += np.bincount(_place(value), minlength=len(counts)).astype(np.uint64)
                 k = b - a
                 yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(off)), pa.array(_classes(value, off)), pa.array(_bitmaps(value, off), pa.binary()), pa.array(np.full(k, -1, np.int32)), pa.array(np.full(k, task, np.int32)), pa.nulls(k, pa.binary())], names)
         if counts.any():
@@ -97,21 +97,10 @@ def _describe(n: int):
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches, in two levels; the result has a fixed size."""
-    parts = described.filter("part >= 0").select("part", F.expr("pmod(task, 64)").alias("salt"), "counts")
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part").slice(0, 1), "salt": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
-
-    schema = "part int, salt int, counts binary"
-    level = parts.groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    rows = level.toArrow().to_pylist()  # SKETCH_PARTS rows
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in rows:
-        step = len(out) // SKETCH_PARTS
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return out
+    """Sum of the tasks' sketches; the result has a fixed size."""
+    parts = sum_arrays(described.filter("part >= 0").select("part", "task", F.col("counts").alias("body")), "uint64")
+    empty = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
+    return np.minimum(np.concatenate([parts.get(k, empty) for k in range(SKETCH_PARTS)]), 0xFFFFFFFF).astype(np.uint32)
 
 
 def _prefixes(n: int, num: int, den: int, sketch):

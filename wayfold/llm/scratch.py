@@ -5,10 +5,14 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: whole texts have no fixed size, so Spark's 10,000 rows or 64 MB would be too much for several workers.
 TEXT_ROWS, TEXT_BYTES = 1000, 16 << 20
@@ -91,6 +95,37 @@ def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(trimmed, schema)
 
 
+#: Arrays that one task adds up.
+FAN_IN = 16
+
+
+def sum_arrays(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """Sums of the tasks' zlib-packed arrays, by ``part``; ``parts`` has ``part, task, body``.
+
+    A tree: no task holds more than ``FAN_IN`` arrays, however many tasks made one.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        table, total = table.sort_by("task"), None  # sums of floats keep one order
+        for body in table.column("body"):
+            own = np.frombuffer(zlib.decompress(body.as_buffer()), kind)
+            total = own.copy() if total is None else np.add(total, own, out=total)
+        return pa.table({"part": table.column("part").slice(0, 1), "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int32()), "body": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    level = materialize(parts.select("part", "task", "body"), "sums")
+    most = level.agg(F.max("task")).first()[0]
+    while most is not None and most > 0:
+        grouped = level.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInArrow(add, "part int, task int, body binary")
+        most //= FAN_IN
+        level = materialize(grouped, "sums") if most > 0 else grouped
+    return {r["part"]: np.frombuffer(zlib.decompress(r["body"]), kind) for r in level.toArrow().to_pylist()}  # one row for each part
+
+
+def packed_row(part: int, body: np.ndarray) -> pa.RecordBatch:
+    """One row of ``sum_arrays``' input from the running task."""
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(body.tobytes(), 1)], pa.binary())], ["part", "task", "body"])
+
+
 def give_back() -> None:
     """Return free memory of this worker to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()
