@@ -91,6 +91,15 @@ def test_item_of_common_words_only(spark):
     assert leaks(spark, docs, items) == [(500, 1)]
 
 
+def test_item_between_words_said_again_and_again(spark):
+    r = random.Random(37)
+    items = [(i, " ".join(prose(r, 21))) for i in range(40)]
+    noise = items[5][1].split()[3]
+    docs = [(d, " ".join(prose(r, 60)), "x") for d in range(200)]
+    docs += [(300, f"{noise} " * 37 + items[7][1] + f" {noise}" * 40, "x"), (301, f"{noise} and " * 37 + items[7][1] + f" or {noise}" * 40, "x")]
+    assert leaks(spark, docs, items) == [(300, 7), (301, 7)]
+
+
 def test_sums_have_a_bounded_fan_in(spark, monkeypatch):
     from wayfold.llm import scratch
 

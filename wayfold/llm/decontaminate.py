@@ -28,9 +28,9 @@ from .scratch import map_texts, materialize, packed_row, sum_arrays
 
 STEP = 16
 RANK, OVER = 192, 32
-MAX_DF = 0.005
+MAX_DF = 0.02
 FEWEST, RAREST, LEAST_WEIGHT = 4, 8, 0.1
-COSINE = 0.4
+COSINE = 0.35
 SURE, LIKELY, ANSWER = 0.7, 0.5, 0.6
 BLOCK_ITEMS = 20_000
 _U = np.uint64
@@ -290,9 +290,16 @@ def _leaks(ids, a, row, at, col, weight, fewest, model, found) -> None:
         return
     needed = np.unique(np.concatenate([chosen, chosen[follows[chosen]] + 1]))
     ends = first + count
-    index = np.concatenate([np.arange(first[b], ends[b]) for b in needed])
+    # a word that is said again and again must not outweigh the others: within a block it counts once in four
+    fresh = np.ones(len(col), bool)
+    for lag in (1, 2, 3):
+        fresh[lag:] &= (col[lag:] != col[:-lag]) | (block[lag:] != block[:-lag])
+    at_fresh = np.concatenate([[0], np.cumsum(fresh)])
+    begin, held = at_fresh[first[needed]], at_fresh[ends[needed]] - at_fresh[first[needed]]
+    cut = np.concatenate([[0], np.cumsum(held)])
+    index = np.arange(cut[-1]) + np.repeat(begin - cut[:-1], held)
     sums = np.zeros((len(key), vectors.shape[1]), np.float32)
-    sums[needed] = segment_sums(vectors, col[index], np.concatenate([[0], np.cumsum(count[needed])[:-1]]))
+    sums[needed] = segment_sums(vectors, col[fresh][index], cut[:-1])
     size, length = np.array([len(i.cols) for i in items]), np.array([i.n for i in items])
     plain = np.array([i.plain for i in items])
     places = (row << 40) + at
