@@ -2,9 +2,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_bytetext import by_hand as words_of
-from wayfold.llm.mixing import mix_sources
+from wayfold.llm.mixing import mix_sources, quality_weight, ranged, uniform, word_count
 
 SCHEMA = "doc_id long, text string, source string, size int, target string"
 
@@ -71,3 +72,17 @@ def test_better_documents_come_first(spark):
     got = {x["doc_id"]: x["taken"] for x in run(spark, rows) if x["doc_id"] < 5000}
     good, bad = sum(t for i, t in got.items() if i % 2), sum(t for i, t in got.items() if i % 2 == 0)
     assert good > 1.5 * bad > 0
+
+
+@pytest.mark.parametrize("bad", [0.0, 0.5, 1.0])
+def test_ranges_are_balanced_whatever_the_weights(spark, bad):
+    r = random.Random(3)
+    rows = [(i, "{}[]<>" * 4 if r.random() < bad else "words of prose", "code", 1, "t") for i in range(20_000)] + [(50_000 + i, "a", None, 1, "t") for i in range(10)]
+    text = F.col("text")
+    sized = spark.createDataFrame(rows, SCHEMA).select("doc_id", "source", word_count(text).alias("size"), quality_weight(text).alias("w"))
+    placed = ranged(sized.withColumn("key", -F.log(uniform(F.col("doc_id"), 17)) / F.col("w")))
+    found = placed.groupBy("source", "range").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    code = sorted((x for x in found if x["source"] == "code"), key=lambda x: x["range"])
+    assert sum(x["n"] for x in code) == 20_000 and len(code) >= 9 and max(x["n"] for x in code) < 2 * 2000
+    assert all(a["high"] <= b["low"] for a, b in zip(code, code[1:]))
+    assert [(x["range"], x["n"]) for x in found if x["source"] is None] == [(0, 10)]

@@ -53,3 +53,22 @@ def test_scores_beyond_doubles(spark):
     assert got == by_hand(rows, 5)
     huge = [(0, [1.0e30], "a", 0), (1, [1.0e30], "a", 0), (2, [-1.0e30], "a", 0)]
     assert run(spark, huge) == {0: [(1, (1 << 63) - 1), (2, -(1 << 63))]}
+
+
+def test_repeated_ids(spark):
+    """Of queries with one id the least vector asks; candidates with one id are ranked each."""
+    rows = [(0, [0.5, 0.0], "a", 0), (0, [0.25, 1.0], "b", 0), (1, [1.0, 0.0], "a", 0), (1, [0.0, 1.0], "a", 0), (2, [0.5, 0.5], "a", 0)]
+    assert run(spark, rows) == {0: [(1, 256 * 256), (2, 64 * 128 + 256 * 128), (1, 64 * 256)]}
+
+
+def test_short_vectors_leave_early(spark):
+    """Blocks that cannot reach the cutoff; the best ones lie in a few blocks only."""
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-0.01, 0.01) * (100 if 500 <= i < 520 else 1) for _ in range(8)], "x", 1) for i in range(1500)]
+    v = spark.createDataFrame(rows, SCHEMA).repartition(6, "vec_id")
+    got = {}
+    for x in topk_search(v, v.filter("vec_id % 5 = 0"), k=3).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    f32 = lambda x: float(__import__("numpy").float32(x))
+    want = by_hand([(i, [f32(x) for x in vec]) for i, vec, *_ in rows], 3)
+    assert {q: [(b, c) for _, b, c in sorted(x)] for q, x in got.items()} == want

@@ -3,8 +3,9 @@
 Efraimidis-Spirakis: a document's key is an exponential variate divided by its quality weight;
 ascending keys within a source are a weighted sample of any length.  Sizes are prefix-summed
 in that order up to the source's budget.  Complete epochs come first, the remainder selects
-by key.  A source's order is cut into ranges of the key, so a source with a third of all rows
-is spread over many tasks; only per-range sums meet.
+by key.  A source's order is cut into ranges of the key, as many as its rows ask for and of about
+equal numbers of rows, so a source with a third of all rows is spread over many tasks; only
+per-range sums meet.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-RANGES = 512
+RANGE_ROWS = 2000
 #: Characters that lower a document's weight; fixed values.
 _SYMBOLS = "#$%&*|<>{}[]\\^~_=+@"
 
@@ -45,15 +46,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     fractional pass takes; the document on the boundary gives the words still missing, so a
     source's taken words are its target rounded down.  Null or empty texts have size 0 and
     take 0; repeated rows are separate rows; ties of the key are broken by doc_id and size.
+    ``quality`` must be positive; without it the share of junk symbols decides.
     An empty table gives an empty result.  Other columns of ``docs`` are ignored.
     """
     text = F.col(text_col)
-    sized = docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"),
-        (-F.log(uniform(F.col("doc_id"), seed)) / (quality if quality is not None else quality_weight(text))).alias("key"),
-    )
-    # The key's exponential law cuts its range into equal shares; weights below 1 only stretch it.
-    sized = materialize(sized.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int")), "mix")
+    weight = quality if quality is not None else quality_weight(text)
+    sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), weight.alias("w"))
+    sized = sized.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("w"))
+    sized = ranged(materialize(sized, "mix"))
 
     by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +70,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     return joined.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), F.col("source"), epochs.alias("epochs"))
 
 
+def ranged(sized: DataFrame) -> DataFrame:
+    """Add ``range``: ascending in ``key`` within a source, with about ``RANGE_ROWS`` rows in each.
+
+    Keys of rows of weight w are below x with probability 1 - exp(-w x).  A source's rows of each
+    weight (in steps of a fourth of a power of two) are counted, so the share of its keys below x
+    is known without sorting them; that share, a growing function of x, names the range.
+    """
+    step = F.least(F.lit(24), F.greatest(F.lit(-24), F.floor(F.log2("w") * 4)))
+    counted = sized.groupBy("source", step.alias("step")).agg(F.count("*").alias("n"), F.avg("w").alias("w"))
+    law = counted.groupBy("source").agg(F.collect_list(F.struct("n", "w")).alias("law"), F.sum("n").alias("docs"))
+    law = materialize(law.select(F.col("source").alias("l_source"), "law", F.col("docs").cast("double").alias("docs"), F.ceil(F.col("docs") / RANGE_ROWS).cast("int").alias("ranges")), "law", narrow=True)
+    below = F.aggregate("law", F.lit(0.0), lambda total, x: total + x["n"] * (1 - F.exp(-x["w"] * F.col("key")))) / F.col("docs")
+    placed = sized.join(law, sized["source"].eqNullSafe(law["l_source"]))
+    return placed.withColumn("range", F.least(F.col("ranges") - 1, F.floor(below * F.col("ranges")).cast("int"))).drop("l_source", "law", "docs", "ranges", "w")
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """Water-filling over the table of sources: target = min(cap, level * weight).
 

@@ -8,6 +8,8 @@ dimensions; each slice is one sorted list of partial scores.
 2. the cutoff goes back to the blocks; an entry whose partial score is below cutoff / lists in
    every list cannot reach the cutoff, so only entries at or above it are collected, and of
    those only the ones whose upper bound (unseen parts count as the threshold) reaches it.
+   A query whose slices' lengths, times the block's longest, stay below its cutoff leaves the
+   block before anything is multiplied.
 3. the remaining entries' missing parts are resolved exactly and ranked.
 
 All arithmetic is on integers: vectors are quantised before the search.
@@ -139,6 +141,12 @@ def _resolve(k: int, lists: int):
                 cut = np.array([known.get(int(i), -np.inf) for i in q_ids])
                 cut = np.where(np.abs(cut) < _EXACT, cut, np.nextafter(cut, -np.inf))  # as a double it may have been rounded up
                 spans = _slices(row["dim"], lists)
+                within = lambda bound, cut: bound + np.abs(bound) * 1e-9 + 1 >= cut  # noqa: E731  sums of doubles may be rounded
+                length = lambda x: np.stack([np.linalg.norm(x[:, s], axis=1) for s in spans])
+                reach = within((length(q) * length(v).max(axis=1, initial=0)[:, None]).sum(0), cut)
+                if not reach.any():
+                    continue
+                q_ids, q, cut = q_ids[reach], q[reach], cut[reach]
                 limit = np.where(np.isfinite(cut), np.floor(cut / len(spans)), -np.inf)[:, None]
                 parts = [_inner(q[:, s], v[:, s]) for s in spans]
                 upper = np.zeros((len(q_ids), len(ids)))
@@ -147,7 +155,7 @@ def _resolve(k: int, lists: int):
                     hit = p >= limit
                     seen |= hit
                     upper += np.where(hit, p.astype(np.float64), limit)
-                qi, vi = np.nonzero(seen & ((upper >= cut[:, None]) | ~np.isfinite(cut)[:, None]))
+                qi, vi = np.nonzero(seen & (within(upper, cut[:, None]) | ~np.isfinite(cut)[:, None]))
                 total = np.zeros(len(qi), parts[0].dtype)
                 for p in parts:
                     total = total + p[qi, vi]
@@ -167,14 +175,15 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     Score: inner product of the vectors' floor(scale * x), an exact integer.  Ties go to the
     smaller id; a query with fewer than k candidates gets them all; scores beyond a long stop
     at its ends.  Null and empty vectors, vectors with null, NaN or infinite components and
-    null ids take no part; a query meets only vectors of its own length; repeated ids among the vectors are separate candidates.
+    null ids take no part; a query meets only vectors of its own length; repeated ids among the vectors are separate candidates;
+    of queries that repeat an id the least vector asks (by its components from the first).
     Empty tables give an empty result; other columns are ignored.
 
     The vectors are packed into blocks where they are read and each block meets each block
     of queries once per phase; neither side is collected or broadcast by hand.
     """
     block_schema = "dim int, ids binary, body binary"
-    asked = quantised(queries, id_col, vector_col, scale)
+    asked = materialize(quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), "topk-asked")
     q = materialize(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))).mapInArrow(_blocks(QUERY_BLOCK), block_schema).withColumn("qb", F.monotonically_increasing_id()), "topk-q")
     v = quantised(vectors, id_col, vector_col, scale).mapInArrow(_blocks(BLOCK), block_schema)
     named = q.select("dim", "qb", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
