@@ -89,6 +89,23 @@ def test_large_groups_in_tiles(spark, monkeypatch):
         assert run(spark, rows, 3, num, 100) == by_hand(rows, 3, num, 100)
 
 
+def test_unlike_sets_with_one_sum_are_told_apart(spark, monkeypatch):
+    """With names of three bits nearly all sets share theirs with others."""
+    monkeypatch.setattr(jaccard, "CLASS_BITS", 3)
+    rows = corpus(6, 120) + [(2000, "some words here"), (2001, "some words here"), (2002, None)]
+    assert run(spark, rows, 3, 90, 100) == by_hand(rows, 3, 90, 100)
+    monkeypatch.setattr(jaccard, "MAX_APART", 5)
+    with pytest.raises(ValueError):
+        run(spark, rows, 3, 90, 100)
+
+
+def test_structured_words_are_no_link(spark):
+    """A Thue-Morse word and its complement, whose byte sums cancel modulo powers of two."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    assert run(spark, rows, 3, 90, 100) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
 def test_edges(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "one two"), (3, "ONE  two"), (9, "one two three"), (9, "one two three"), (None, "one two three"), (None, "alone here now"), (1, "x " * 5000), (2, "x " * 6000), (10, "é É")]
     assert run(spark, rows, 3, 90, 100) == by_hand(rows, 3, 90, 100)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are alike.
 
-1. One pass gives every document's set a 64-bit class value (equal sets are one class, so
-   copies meet only as one row) and counts shingles in a fixed-size sketch.
+1. One pass gives every document's set a class name (equal sets are one class, so copies
+   meet only as one row; two independent sums tell unlike sets apart) and counts shingles in a fixed-size sketch.
 2. Shingles are ordered by (sketched count, value).  Two sets with Jaccard >= t share one of
    the first n - ceil(t n) + 1 of either: that prefix filter is exact for any common order;
    the sketch only keeps frequent shingles out of prefixes, so no common passage makes a
@@ -26,7 +26,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import buffers, distinct_sorted, mix, runs, shingles, words
@@ -38,6 +38,8 @@ SKETCH_PARTS = 16
 SMALL = 64
 BLOCK = 256
 BITMAP = (256, 16384)
+#: Bits of a set's name, and how many sets may share one with another set.
+CLASS_BITS, MAX_APART = 64, 100_000
 _U = np.uint64
 
 
@@ -49,9 +51,40 @@ def _sets(column: pa.Array, n: int):
         yield a, b, *distinct_sorted(*shingles(value, word_off, n))
 
 
-def _classes(value: np.ndarray, off: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[_U(0)], np.cumsum(mix(value ^ _U(0xA5A5A5A55A5A5A5A)), dtype=np.uint64)])
-    return mix((sums[off[1:]] - sums[off[:-1]]) + np.diff(off).astype(np.uint64)).view(np.int64)
+def _sums(value: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
+    sums = np.concatenate([[_U(0)], np.cumsum(mix(value ^ _U(seed)), dtype=np.uint64)])
+    return mix((sums[off[1:]] - sums[off[:-1]]) + np.diff(off).astype(np.uint64))
+
+
+class Classes:
+    """Names of sets: equal sets have one name, unlike sets never share one.
+
+    A name is a 64-bit sum over the set.  Where two sets of the corpus have one sum, a second,
+    independent sum tells them apart, and all but one of them are renamed; ``apart`` lists those few.
+    """
+
+    def __init__(self, bits: int = 64, apart: dict[tuple[int, int], int] | None = None):
+        self.bits, self.apart = bits, apart or {}
+        self.hit = np.array(sorted({c for c, _ in self.apart}), np.int64)
+
+    def sums(self, value: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (_sums(value, off, 0xA5A5A5A55A5A5A5A) >> _U(64 - self.bits)).view(np.int64), _sums(value, off, 0x3C6EF372FE94F82B).view(np.int64)
+
+    def names(self, value: np.ndarray, off: np.ndarray) -> np.ndarray:
+        one, two = self.sums(value, off)
+        if len(self.hit):
+            for i in np.flatnonzero(np.isin(one, self.hit)):
+                one[i] = self.apart.get((int(one[i]), int(two[i])), one[i])
+        return one
+
+    @classmethod
+    def of(cls, info: DataFrame, bits: int) -> Classes:
+        """Names that fit the corpus: ``info`` has both sums (``cls, other``) of every set."""
+        mixed = info.groupBy("cls").agg(F.min("other").alias("least"), F.max("other").alias("most")).filter("least <> most")
+        rest = info.join(mixed.select("cls", "least"), "cls").filter("other <> least").select("cls", "other").distinct().limit(MAX_APART + 1).collect()
+        if len(rest) > MAX_APART:  # of n sets, about n * n / 2**65 are expected
+            raise ValueError(f"more than {MAX_APART} sets share a 64-bit sum with another one")
+        return cls(bits, {(r["cls"], r["other"]): int(mix(mix(np.array([r["other"]], np.int64).view(_U)) ^ np.array([r["cls"]], np.int64).view(_U)).view(np.int64)[0]) for r in rest})
 
 
 def _bitmaps(value: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -78,20 +111,21 @@ def _place(value: np.ndarray) -> np.ndarray:
     return (value >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _describe(n: int):
+def _describe(n: int, classes: Classes):
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint64)
         task = TaskContext.get().partitionId()
-        names = ["doc_id", "n", "cls", "bits", "part", "task", "counts"]
+        names = ["doc_id", "n", "cls", "other", "bits", "part", "task", "counts"]
         for batch in batches:
             ids = batch.column(0)
             for a, b, value, off in _sets(batch.column(1), n):
                 counts += np.bincount(_place(value), minlength=len(counts)).astype(np.uint64)
                 k = b - a
-                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(off)), pa.array(_classes(value, off)), pa.array(_bitmaps(value, off), pa.binary()), pa.array(np.full(k, -1, np.int32)), pa.array(np.full(k, task, np.int32)), pa.nulls(k, pa.binary())], names)
+                one, two = classes.sums(value, off)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(off)), pa.array(one), pa.array(two), pa.array(_bitmaps(value, off), pa.binary()), pa.array(np.full(k, -1, np.int32)), pa.array(np.full(k, task, np.int32)), pa.nulls(k, pa.binary())], names)
         if counts.any():
             cut = np.split(counts, SKETCH_PARTS)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(np.full(SKETCH_PARTS, task, np.int32)), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SKETCH_PARTS, pa.int64())] * 4, pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(np.full(SKETCH_PARTS, task, np.int32)), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())], names)
 
     return run
 
@@ -103,13 +137,13 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return np.minimum(np.concatenate([parts.get(k, empty) for k in range(SKETCH_PARTS)]), 0xFFFFFFFF).astype(np.uint32)
 
 
-def _prefixes(n: int, num: int, den: int, sketch):
+def _prefixes(n: int, num: int, den: int, sketch, classes: Classes):
     def run(batches):
         rank = np.minimum(sketch.value, (1 << 24) - 1).astype(np.uint64)
         done: set[int] = set()
         for batch in batches:
             for _, _, value, off in _sets(batch.column(0), n):
-                cls, size = _classes(value, off), np.diff(off)
+                cls, size = classes.names(value, off), np.diff(off)
                 fresh = []
                 for i, c in enumerate(cls.tolist()):
                     if size[i] and c not in done:
@@ -221,29 +255,39 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     den * |A n B| >= num * |A u B|.  component_id is the smallest doc_id that links reach.
     Rows with equal sets are linked, repeated rows too; null doc_ids are linked but never
     smallest (a component of null ids only has a null id).  An empty table gives an empty
-    result; other columns are ignored.  Shingles and sets are compared by 64-bit values.
+    result; long texts are read whole; other columns are ignored.  Shingles are compared by
+    64-bit values, whole sets by two of them.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(map_texts(texts, _describe(n), "doc_id long, n long, cls long, bits binary, part int, task int, counts binary"), "described")
-    info = described.filter("part < 0").select("doc_id", "n", "cls", "bits")
-    links = _class_links(spark, texts, info, described, n, num, den)
+    schema = "doc_id long, n long, cls long, other long, bits binary, part int, task int, counts binary"
+    described = materialize(map_texts(texts, _describe(n, Classes(CLASS_BITS)), schema), "described")
+    info = described.filter("part < 0").select("doc_id", "n", "cls", "other", "bits")
+    classes = Classes.of(info, CLASS_BITS)
+    if classes.apart:
+        renamed = spark.createDataFrame([(c, o, x) for (c, o), x in classes.apart.items()], "cls long, other long, renamed long")
+        info = info.join(renamed, ["cls", "other"], "left").withColumn("cls", F.coalesce("renamed", "cls"))
+    info = info.select("doc_id", "n", "cls", "bits")
+    links = _class_links(spark, texts, info, described, n, num, den, classes)
     info = info.drop("bits")
     roots = components(links)
     # ids of classes with an empty set stay out of every link
     smallest = info.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
     rooted = smallest.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = rooted.select("cls", "first_id", "root").join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(F.col("cls").alias("c"), "component_id")
+    rooted = materialize(rooted.select("cls", "first_id", "root"), "rooted", narrow=True)
+    # a table of its own: joined in a stage without the aggregate, a giant component is split
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least", narrow=True)
+    named = rooted.join(least, "root").select(F.col("cls").alias("c"), "component_id")
     linked = info.join(named, (info["cls"] == F.col("c")) & (info["n"] > 0), "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, described: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, described: DataFrame, n: int, num: int, den: int, classes: Classes) -> DataFrame:
     sketch = spark.sparkContext.broadcast(_sketch(described))  # 2 ** SKETCH_BITS counters, whatever the input
-    prefixes = map_texts(texts.select("text"), _prefixes(n, num, den, sketch), "token long, cls long, n int")
-    once = prefixes.repartition("token").dropDuplicates(["token", "cls"])
-    group = Window.partitionBy("token")
-    shared = materialize(once.withColumns({"m": F.count("*").over(group), "center": F.min("cls").over(group)}).filter("m > 1"), "shared")
+    prefixes = map_texts(texts.select("text"), _prefixes(n, num, den, sketch, classes), "token long, cls long, n int")
+    once = materialize(prefixes.dropDuplicates(["token", "cls"]), "prefixes")
+    several = once.groupBy("token").agg(F.count("*").alias("m"), F.min("cls").alias("center")).filter("m > 1")
+    shared = materialize(once.join(materialize(several, "several"), "token"), "shared")
 
     groups = shared.filter(F.col("m") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("members"))
     tiles = groups.select("members").mapInArrow(_bands(num, den), "tile long, cls long").dropDuplicates(["tile", "cls"]).withColumn("side", F.lit(0))
@@ -275,7 +319,7 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
         for batch in batches:
             wanted = batch.column(1).filter(keep(batch.column(0)))
             for a, b, value, off in _sets(wanted, n):
-                yield pa.RecordBatch.from_arrays([pa.array(_classes(value, off)), pa.array([value[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["cls", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes.names(value, off)), pa.array([value[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["cls", "body"])
 
     bodies = map_texts(texts, sets, "cls long, body binary").join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     bodies = materialize(bodies, "bodies")
