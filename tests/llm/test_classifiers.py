@@ -64,6 +64,63 @@ def test_long_texts_go_in_stretches(monkeypatch):
     assert [got.get(i, set()) for i in range(5)] == whole
 
 
+def test_quality_learns_words(spark):
+    """Good and bad passages have the same kinds of characters, lengths and repeats: only the words tell."""
+    r = random.Random(8)
+    good, bad = [f"ab{chr(97 + i)}de" for i in range(20)], [f"fg{chr(97 + i)}hi" for i in range(20)]
+    text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(text(good, 120) + " " + text(bad if i % 2 else good, 60), int(i % 2 == 0)) for i in range(300)]
+    model = quality.fit(sample(spark, rows), epochs=25)
+    docs = [(i, text(good, 200) + " " + text(bad if i % 2 else good, 60)) for i in range(40)]
+    got = {x["doc_id"]: x["score"] for x in quality.score_quality(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert max(s for i, s in got.items() if i % 2) < min(s for i, s in got.items() if i % 2 == 0)
+
+
+def score_by_hand(model, text):
+    """Gated attention over passages, one at a time, from the features of each text alone."""
+    x, off = quality.passage_features(*buffers(pa.array([text or ""])))
+    p, z, a = model.p, [], []
+    for row in x[off[0] : off[1]].astype(float):
+        h = np.tanh((row - p["mean"]) / p["scale"] @ p["W"] + p["b"])
+        z.append(h)
+        a.append((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"])
+    a = np.exp(np.array(a) - max(a))
+    bag = (a / a.sum()) @ np.array(z)
+    return 1 / (1 + np.exp(-(bag @ p["c"] + p["d"][0])))
+
+
+def test_scores_by_hand(spark):
+    """Both classifiers' scores against plain loops over one text at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-2, "again")], "doc_id long, text string"))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.quality_model(docs, labels)
+    texts = {}
+    for x in docs.collect():
+        texts.setdefault(x["doc_id"], []).append(x["text"])
+    found = quality.score_quality(docs, model).collect()
+    assert len(found) == docs.count()
+    for x in found:
+        assert min(abs(x["score"] - score_by_hand(model, t)) for t in texts[x["doc_id"]]) < 1e-5
+    tox = toxicity.toxicity_model(docs, labels)
+    for x in toxicity.score_toxicity(docs, tox).collect():
+        t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r" else c for c in x["text"] or "")
+        grams = {t[i : i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)}
+        buckets = {int(b) for g in grams for b in toxicity.ngram_places([g])[1][-1:]}
+        z = sum(float(tox["table"][b]) for b in buckets) + tox["bias"]
+        assert abs(x["score"] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_sample_is_bounded_when_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(2, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+    from wayfold.llm.labelled import labelled_sample
+
+    rows = sorted(map(tuple, labelled_sample(docs, labels, "quality", F.lit(True), 100).collect()))
+    assert rows == [("text 0", 0), ("text 1", 1), ("text 12", 1), ("text 13", 1), ("text 14", 0)]
+    assert labelled_sample(docs, labels, "quality", F.lit(True), 2).count() == 2
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     model = quality.Attention.start(1, np.zeros(quality.WIDTH), np.ones(quality.WIDTH))

@@ -296,7 +296,8 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
         tiles = tiles.unionByName(_cluster_tiles(hot, num, den))
     tiles = materialize(tiles, "tiles", narrow=True)
 
-    maps = info.filter("n > 0").join(tiles.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    # copies are added up in their own tasks before they meet
+    maps = info.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(tiles.select("cls").distinct(), "cls", "left_semi")
 
     def thin(table: pa.Table) -> pa.Table:
         cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()

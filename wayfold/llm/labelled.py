@@ -19,11 +19,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """``text, y`` of at most ``bound`` labelled documents, chosen by a hash of the id.
 
     ``usable`` filters the labels (folds).  Null labels are no labels; a document labelled
-    more than once has the largest label.  The chosen ids are few by construction
+    more than once has the largest label, of texts that share an id the least is read.  The chosen ids are few by construction
     (``bound`` rows), so that side, and only that side, is broadcast.
     """
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = materialize(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound), "labels")
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
     return materialize(joined.repartition(FIT_PARTITIONS), "sample")

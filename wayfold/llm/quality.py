@@ -1,8 +1,9 @@
 """Quality classifier: gated-attention multiple-instance learning over a document's passages.
 
-A document is a bag of passages of ``PASSAGE`` words.  Every passage is described by numbers
-taken from the whole text's bytes (kinds of characters, word lengths, repetition inside the
-passage and within the document) and encoded by a small network; attention weights
+A document is a bag of passages of ``PASSAGE`` words.  Every passage is described by its words,
+hashed into ``BUCKETS`` shares, and by numbers taken from its bytes (kinds of characters, word
+lengths, repetition inside the passage and within the document), and encoded by a small network
+whose weights for words and numbers are learned together; attention weights
 ``softmax(w . (tanh(V z) * sigmoid(U z)))`` are learned from document labels alone, and the
 weighted passage representation is scored.
 """
@@ -21,6 +22,11 @@ from .scratch import map_texts
 PASSAGE = 40
 MAX_TRAIN = 8000
 HIDDEN, GATE = 24, 12
+#: Words are hashed into so many columns.
+BUCKET_BITS = 7
+BUCKETS = 1 << BUCKET_BITS
+#: Passages of one labelled document that training reads, evenly spaced; scores read all.
+MAX_PASSAGES = 64
 _KINDS = ["letter", "upper", "digit", "symbol", "stop", "wide", "newline", "bar"]
 
 
@@ -32,7 +38,8 @@ def _kinds() -> np.ndarray:
 
 
 KIND = _kinds()
-WIDTH = len(_KINDS) + 8
+NUMBERS = len(_KINDS) + 8
+WIDTH = NUMBERS + BUCKETS
 
 
 def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +89,10 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     x[used, at + 6] = mean(lone)
     tail = kind[e - 1]
     x[used, at + 7] = mean((tail == 3) | (tail == 7))
+    # square roots of the words' shares: rows of length 1 whatever the passage's size
+    place = np.repeat(np.arange(len(first)), count.astype(np.int64)) * BUCKETS + (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    shares = np.bincount(place, minlength=len(first) * BUCKETS).reshape(-1, BUCKETS) / count[:, None]
+    x[used, NUMBERS:] = np.sqrt(shares)
     return x, off
 
 
@@ -130,18 +141,20 @@ def _bags(batches):
         data, off = buffers(batch.column(0))
         for a, b in runs(off):
             x, rows = passage_features(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            yield pa.RecordBatch.from_arrays([pa.array([x[rows[i] : rows[i + 1]].tobytes() for i in range(b - a)], pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
+            chosen = [np.unique(np.linspace(rows[i], rows[i + 1] - 1, MAX_PASSAGES).astype(np.int64)) for i in range(b - a)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c].tobytes() for c in chosen], pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
 
 
 def fit(sample: DataFrame, epochs: int = 12, batch: int = 64, seed: int = 5) -> Attention:
-    """Train on ``text, y`` rows (bounded by the caller) with Adam; the passages' numbers, not the texts, come to the driver."""
-    bags = sorted(((np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(np.float64), r["y"]) for r in map_texts(sample, _bags, "x binary, y int").toArrow().to_pylist()), key=lambda b: (b[1], b[0].shape, b[0].tobytes()))
+    """Train on ``text, y`` rows (bounded by the caller) with Adam; numbers of at most ``MAX_PASSAGES`` passages a text, not the texts, come to the driver."""
+    bags = sorted(((np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH), r["y"]) for r in map_texts(sample, _bags, "x binary, y int").toArrow().to_pylist()), key=lambda b: (b[1], b[0].shape, b[0].tobytes()))
     if not bags:
         model = Attention.start(seed, np.zeros(WIDTH), np.ones(WIDTH))
         model.p["c"][:] = 0
         return model
     every = np.concatenate([b[0] for b in bags])
-    model = Attention.start(seed, every.mean(0), every.std(0) + 1e-3)
+    model = Attention.start(seed, every.mean(0, dtype=np.float64), every.std(0, dtype=np.float64) + 1e-2)
+    del every
     y = np.array([b[1] for b in bags], float)
     r = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -171,7 +184,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 def score_quality(docs: DataFrame, model: Attention, threshold: float = 0.3) -> DataFrame:
     """``doc_id, score, predicted`` for every row of ``docs``.
 
-    A null text is the empty text, a bag of one passage of zeros.  Whole texts are scored,
+    A null or empty text is a bag of one passage of zeros; rows that repeat a doc_id are scored each.  Whole texts are scored,
     however long; equal texts score alike; an empty table gives an empty result; other
     columns are ignored.
     """
