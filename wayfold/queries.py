@@ -232,11 +232,11 @@ def point_geometry(spark, sf_dir):
     return starview.dataset(spark, sf_dir).query(q, form="ewkt").select("osmid", "brand", "geometry", "missing_refs")
 
 
-def _extract(spark, sf_dir) -> OsmDataset:
-    """The view written as ``.osm.pbf`` files and opened from there."""
+def _extract(spark, sf_dir, kinds=("nodes", "ways", "relations")) -> OsmDataset:
+    """The view's elements written as ``.osm.pbf`` files and opened from there."""
     data = starview.dataset(spark, sf_dir)
     folder = shared_folder(spark, "extract")
-    write_pbf({"nodes": data.nodes, "ways": data.ways, "relations": data.relations}, folder)
+    write_pbf({kind: getattr(data, kind) for kind in kinds}, folder)
     return OsmDataset.from_pbf(spark, folder)
 
 
@@ -246,16 +246,16 @@ def _flat(tags):
 
 
 def extract_nodes(spark, sf_dir):
-    return _extract(spark, sf_dir).nodes.select("id", "lon", "lat", _flat(F.col("tags")).alias("tags"), "version", "changeset")
+    return _extract(spark, sf_dir, ["nodes"]).nodes.select("id", "lon", "lat", _flat(F.col("tags")).alias("tags"), "version", "changeset")
 
 
 def extract_ways(spark, sf_dir):
     edited = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("edited")
-    return _extract(spark, sf_dir).ways.select("id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"), _flat(F.col("tags")).alias("tags"), F.col("version").cast("long").alias("version"), edited, "changeset")
+    return _extract(spark, sf_dir, ["ways"]).ways.select("id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"), _flat(F.col("tags")).alias("tags"), F.col("version").cast("long").alias("version"), edited, "changeset")
 
 
 def extract_relations(spark, sf_dir):
-    rows = _extract(spark, sf_dir).relations.select("id", _flat(F.col("tags")).alias("tags"), F.posexplode("members").alias("pos", "m"))
+    rows = _extract(spark, sf_dir, ["relations"]).relations.select("id", _flat(F.col("tags")).alias("tags"), F.posexplode("members").alias("pos", "m"))
     return rows.select("id", "tags", F.col("pos").cast("long").alias("pos"), F.col("m.ref").alias("ref"), F.col("m.type").alias("type"), F.col("m.role").alias("role"))
 
 
