@@ -1,3 +1,5 @@
+import pytest
+import json
 import zlib
 
 import numpy as np
@@ -102,3 +104,15 @@ def test_shard_access(tmp_path):
     except ValueError:
         return
     raise AssertionError("padding was read as ids")
+
+
+@pytest.mark.parametrize(("part", "change"), [("pre_tokenizer", {"use_regex": False}), ("pre_tokenizer", {"add_prefix_space": True}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", {"end_of_word_suffix": "</w>"}), ("model", {"ignore_merges": True})])
+def test_other_vocabularies_are_refused(tmp_path, part, change):
+    from wayfold.llm.token_counts import Merges
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec[part] |= change
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="counted here"):
+        Merges(str(tmp_path / "other.json"))

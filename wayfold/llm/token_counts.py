@@ -41,6 +41,12 @@ class Merges:
         self.special = [t["content"] for t in spec["added_tokens"]]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]) or spec.get("normalizer"):
             raise ValueError("only byte-level vocabularies without normaliser are counted here")
+        # PATTERN is what the byte-level pre-tokeniser's own pattern stands for
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if (before.get("type"), before.get("use_regex", True), before.get("add_prefix_space")) != ("ByteLevel", True, False) or model["type"] != "BPE":
+            raise ValueError("only BPE over the byte-level pre-tokeniser's own pattern is counted here")
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError("a vocabulary with affixes, dropout, byte fallback or ignored merges is not counted here")
         letters = _byte_letters()
         symbol = {bytes([b]): b for b in range(256)}
         as_bytes = lambda s: bytes(letters[c] for c in s)
