@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -296,7 +295,10 @@ def place_catalogue(spark, sf_dir):
 def place_files(spark, sf_dir):
     """Files saved by an injected transport, read back."""
     places = _places(spark, sf_dir)
-    folder = tempfile.mkdtemp(prefix="wayfold-")  # files of the driver, read on the driver
+    folder = shared_folder(spark, "files").removeprefix("file://")
+    if "://" in folder:
+        raise ValueError("downloads are saved below a path of a mounted file system")
+    os.makedirs(folder)
     names = sorted(r[0] for r in places.valid_names().collect())  # a catalogue of places
     saved = places.download(folder, names, lambda url: f"content of {url}".encode(), rename=[n.replace(" ", "_") for n in names])
     rows = []
