@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 from collections.abc import Callable
 
@@ -295,7 +296,7 @@ def place_catalogue(spark, sf_dir):
 def place_files(spark, sf_dir):
     """Files saved by an injected transport, read back."""
     places = _places(spark, sf_dir)
-    folder = shared_folder(spark, "files").removeprefix("file://")
+    folder = re.sub("^file:(//)?", "", shared_folder(spark, "files"))
     if "://" in folder:
         raise ValueError("downloads are saved below a path of a mounted file system")
     os.makedirs(folder)
