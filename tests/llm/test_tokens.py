@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from wayfold.llm import token_counts as tc
+from wayfold.llm import token_output as to
 from wayfold.llm.token_counts import token_counts
 from wayfold.llm.token_output import Encoder, ShardReader, ShardWriter, read_token_files, write_token_files
 
@@ -29,7 +30,7 @@ def test_same_counts_as_the_library(found):
 @given(st.lists(text, max_size=6))
 def test_same_ids_as_the_library(found):
     lib, e = Tokenizer.from_file(WORD), Encoder(WORD)
-    assert e.by_piece and e.by_tail
+    assert e.by_piece
     assert [np.frombuffer(x, e.kind).tolist() for x in e.pack(found)] == [lib.encode(t, add_special_tokens=False).ids for t in found]
 
 
@@ -45,6 +46,28 @@ def test_long_texts_go_in_parts():
             assert np.frombuffer(e.pack(["x", long])[1], e.kind).tolist() == ids
 
 
+def test_odd_texts_and_small_chunks_give_the_same(monkeypatch):
+    lib, e = Tokenizer.from_file(WORD), Encoder(WORD)
+    more = ["<|ENDOFTEXT|>", "A<|endoftext|>B,C", "x<|startoftext|><|endoftext|>y", "don't,DON'T.A'b'", "A\u0301.E\u0301x", "a\x00b\x7fC", "1a2B3,,4;c", "", " ", "a"]
+    found = [t or "" for t in ODD] + more + [" ".join(t or "" for t in ODD + more)]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in found]
+    for chunk in (1 << 22, 64, 1):
+        monkeypatch.setattr(to, "CHUNK", chunk)
+        assert [np.frombuffer(x, e.kind).tolist() for x in e.pack(found)] == want
+    monkeypatch.setattr(to, "REMEMBERED", 2)
+    for _ in range(3):
+        assert [np.frombuffer(x, e.kind).tolist() for x in e.pack(found)] == want
+    assert e.pack([None, "", "a"])[:2] == [b"", b""] and e.pack([]) == []
+
+
+def test_vocabularies_with_other_rules_are_not_cut(tmp_path):
+    spec = json.load(open(WORD))
+    for name, change in [("n", {"normalizer": {"type": "NFC"}}), ("p", {"pre_tokenizer": {"type": "Whitespace"}}), ("a", {"added_tokens": [{**spec["added_tokens"][0], "content": "two words"}]})]:
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps({**spec, **change}))
+        assert not to._cuts(str(path))
+
+
 def test_other_vocabularies_go_text_by_text():
     e, lib = Encoder(BYTE), Tokenizer.from_file(BYTE)
     assert not e.by_piece

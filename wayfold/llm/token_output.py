@@ -12,7 +12,7 @@ task writes another file, and only reported files are ever read.
 
 from __future__ import annotations
 
-import unicodedata
+import json
 import uuid
 import zlib
 from functools import lru_cache
@@ -25,26 +25,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bytetext import FOLD, buffers, runs
 from .scratch import REMEMBERED_BY, fresh_dir, map_texts, materialize
 from .token_counts import segments
 
 REMEMBERED = 600_000
-#: ASCII punctuation but the apostrophe, which begins pre-tokens of its own.
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes that are cut into pieces at once.
+CHUNK = 4 << 20
+
+#: What a vocabulary must say for its texts to be cut at blanks and where the kind of ASCII bytes changes (fixed values of the format).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+#: Kinds of bytes: blanks, letters, digits, punctuation, and what keeps its whole word together: bytes
+#: beyond ASCII and control bytes (the normaliser's), the apostrophe (the pattern's), "<" (special strings').
+BLANK, LETTER, DIGIT, MARK, ODD = range(5)
+_KIND = np.full(256, ODD, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = BLANK
+_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+_KIND[48:58] = DIGIT
+_KIND[[*range(33, 39), *range(40, 48), 58, 59, *range(61, 65), *range(91, 97), *range(123, 127)]] = MARK
+
+
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of the texts, each text's first piece): runs of ASCII letters in lower case, single digits, runs of punctuation, and whole words that hold an odd byte."""
+    kind = _KIND[data]
+    edge = kind == DIGIT
+    edge[1:] |= kind[1:] != kind[:-1]
+    begins = off[:-1][off[:-1] < off[1:]]
+    edge[begins] = True
+    at = np.flatnonzero(edge)
+    own = kind[at]
+    # a word begins after a blank or with its text
+    word = (own == BLANK) | (kind[np.maximum(at, 1) - 1] == BLANK)
+    word[np.searchsorted(at, begins)] = True
+    group = np.cumsum(word) - 1
+    whole = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+    whole[group[own == ODD]] = True
+    kept = word | ~whole[group]
+    at, own, odd = at[kept], own[kept], whole[group[kept]]
+    size = np.diff(at, append=len(data))
+    said = own != BLANK
+    flat, size, odd = data[kind != BLANK], size[said], odd[said]
+    low = FOLD[flat]
+    if odd.any():
+        low = np.where(np.repeat(odd, size), flat, low)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    cut = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+    return cut, np.searchsorted(at[said], off)
 
 
-def _bare(word: str) -> str | None:
-    """The lower-case letters before a word's punctuation, if it has the same ids alone; else None.
-
-    Beyond Latin letters, case can depend on neighbours, and letters that are not in composed
-    form may turn into marks that stick to the punctuation.
-    """
-    base = word.rstrip(_TAIL)
-    if base.isascii():
-        return base.lower() if base.isalpha() else None
-    if base.isalpha() and max(base) < "\u0180" and "\u0130" not in base and unicodedata.is_normalized("NFC", base):
-        return base.lower()
-    return None
 INDEX = "shard int, path string, doc_id long, local_start long, n_tokens long"
 
 
@@ -53,81 +89,85 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _cuts(path: str) -> bool:
+    """Whether a vocabulary's texts may be encoded piece by piece."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and spec.get("post_processor") is None and spec.get("truncation") is None and spec.get("padding") is None
+    # a special string holds "<" and no blank, so the word around it is one piece
+    marked = all("<" in t["content"] and not any(c.isspace() for c in t["content"]) and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+    return plain and marked and spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _PRE_TOKENIZER
+
+
 #: For each vocabulary, pieces and their packed ids: the newer generation and the one before it.
 _seen: dict[str, list[dict[str, bytes]]] = {}
 REMEMBERED_BY["token_output"] = _seen
 
 
 class Encoder:
-    """Ids of whole texts from the library, remembered for each piece between blanks.
+    """Ids of whole texts from the library, remembered for each piece.
 
-    Normaliser, pre-tokeniser and special strings of a vocabulary whose pre-tokens never hold
-    white space give the same ids for a text and for its pieces between ASCII blanks; other
-    vocabularies are encoded text by text.  Two generations of at most ``REMEMBERED`` pieces
-    bound the memory: a piece that is met again moves to the newer one.
+    A vocabulary with the normaliser and pattern above gives the same ids for a text and for its
+    ``pieces``: pre-tokens never reach over a blank or a change of kind, and special strings stay
+    in one piece.  Other vocabularies are encoded text by text.  Two generations of at most
+    ``REMEMBERED`` pieces bound the memory: a piece that is met again moves to the newer one.
     """
 
     def __init__(self, path: str):
         self.lib = _tokenizer(path)
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.generations = _seen.setdefault(path, [{}, {}])
-        self.by_piece = self._blank_free()
-        self.by_tail = self.by_piece and all(self.ids(a + b) == self.ids(a.lower()) + self.ids(b) for a in ("The", "oneded", "Z", "Ñandú") for b in (".", ",", "...", "?!", ".,;", "***", "%%%,", "|>"))
+        self.by_piece = _cuts(path)
 
-    def _blank_free(self) -> bool:
-        probe = ["a b", "a  b\n\tc", " x ", "it's 12 3, \n(d) e's", "\n"]
-        whole = [self.ids(t) for t in probe]
-        alone = [sum((self.ids(w) for w in t.split()), []) for t in probe]
-        listed = [self.lib.encode(t.split(), is_pretokenized=True, add_special_tokens=False).ids for t in probe]
-        return whole == alone == listed
-
-    def ids(self, text: str) -> list[int]:
-        return self.lib.encode(text, add_special_tokens=False).ids
-
-    def pack(self, texts: list[str]) -> list[bytes]:
+    def pack(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Packed ids of each text; a long one is encoded part by part where that gives the same ids."""
-        if not self.by_piece or all(len(t) <= 1 << 20 for t in texts):
-            return self._pack(texts)
-        return [b"".join(self._pack([p])[0] for p in segments(t)) if len(t) > 1 << 20 else self._pack([t])[0] for t in texts]
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_piece:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        data, off = buffers(column)
+        out: list[bytes] = []
+        for a, b in runs(off, CHUNK):
+            if b - a == 1 and off[b] - off[a] > CHUNK:
+                parts = pa.array(segments(column[a].as_py(), CHUNK), pa.string())
+                # an unbroken part may still be long: it has no blank to be cut at
+                out.append(b"".join(self._pack(*buffers(parts.slice(i, 1)))[0] for i in range(len(parts))))
+            else:
+                out += self._pack(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        return out
+
+    def _pack(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        cut, first = pieces(data, off)
+        coded = cut.dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        ids = pa.array(self._ids(found), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1][first].tolist() if len(ids) else [0] * len(first)
+        body = memoryview(ids.buffers()[2]) if len(ids) else memoryview(b"")
+        return [bytes(body[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _ids(self, found: list[bytes]) -> list[bytes]:
+        """Packed ids of each of some unlike pieces."""
         if len(self.generations[0]) > REMEMBERED:
             self.generations[:] = [{}, self.generations[0]]
         known, before = self.generations
-        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new, split = set(), []
-        for w in set().union(*pieces).difference(known):
-            if w in before:
-                known[w] = before[w]
-                continue
-            base = _bare(w) if self.by_tail else None
-            if base is not None and base != w:
-                tail = w[len(base) :]
-                split.append((w, base, tail))
-                if base not in known:
-                    new.add(base)
-                if tail and tail not in known:
-                    new.add(tail)
-                continue
-            new.add(w)
+        out = list(map(known.get, found))
         todo = []
-        for w in new:
-            if w in before:
-                known[w] = before[w]
-            else:
-                todo.append(w)
+        for i, ids in enumerate(out):
+            if ids is None:
+                ids = before.get(found[i])
+                if ids is None:
+                    todo.append(i)
+                else:
+                    out[i] = known[found[i]] = ids
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
-            e = self.lib.encode(part, is_pretokenized=True, add_special_tokens=False)
+            e = self.lib.encode([found[i].decode() for i in part], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, self.kind).tobytes()
             cut = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * self.kind.itemsize).tolist()
-            known.update(zip(part, map(ids.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
-        for w, base, tail in split:
-            known[w] = known[base] + known[tail] if tail else known[base]
-        get = known.__getitem__
-        return [b"".join(map(get, found)) for found in pieces]
+            for i, s, t in zip(part, cut[:-1], cut[1:], strict=True):
+                out[i] = known[found[i]] = ids[s:t]
+        return out
 
 
 def _open(uri: str):
@@ -237,7 +277,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 ids = batch.column(0).slice(a, 1024)
-                packed = encoder.pack(batch.column(1).slice(a, 1024).to_pylist())
+                packed = encoder.pack(batch.column(1).slice(a, 1024))
                 writer = writer or ShardWriter(uri, encoder.kind, seq_len, batch_rows)
                 counts = []
                 for p in packed:
