@@ -89,6 +89,32 @@ def test_large_groups_in_tiles(spark, monkeypatch):
         assert run(spark, rows, 3, num, 100) == by_hand(rows, 3, num, 100)
 
 
+@pytest.mark.parametrize("centers", [1, 4])
+def test_large_clusters_meet_centers_first(spark, monkeypatch, centers):
+    """Families whose members a centre links, and others that only chains of versions hold together."""
+    for name, value in [("SMALL", 3), ("BLOCK", 4), ("DIRECT", 1), ("CENTERS", centers)]:
+        monkeypatch.setattr(jaccard, name, value)
+    star, seeds = jaccard._star_tiles, []
+    monkeypatch.setattr(jaccard, "_star_tiles", lambda *a: seeds.append(a[3]) or star(*a))
+    r = random.Random(11)
+    rows = []
+    for family in range(3):
+        w = [f"f{family}w{i}" for i in range(80)]
+        for i in range(45):
+            if family == 2 or i % 9 == 8:  # a chain: each version changes the one before
+                w = list(w)
+                w[r.randrange(80)] = f"v{family}x{i}"
+                rows.append((len(rows), " ".join(w)))
+            else:
+                own = list(w)
+                own[r.randrange(80)] = f"y{family}x{i}"
+                rows.append((len(rows), " ".join(own + [f"z{k}" for k in range(i % 4)])))
+    r.shuffle(rows)
+    for num in (90, 95):
+        assert run(spark, rows, 3, num, 100) == by_hand(rows, 3, num, 100)
+    assert seeds.count(0) == 2 and len(seeds) > 2
+
+
 def test_unlike_sets_with_one_sum_are_told_apart(spark, monkeypatch):
     """With names of three bits nearly all sets share theirs with others."""
     monkeypatch.setattr(jaccard, "CLASS_BITS", 3)

@@ -37,6 +37,8 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 16
 SMALL = 64
 BLOCK = 256
+#: Clusters of more than so many blocks meet so many centres of each size band first.
+DIRECT, CENTERS = 8, 16
 BITMAP = (256, 16384)
 #: Bits of a set's name, and how many sets may share one with another set.
 CLASS_BITS, MAX_APART = 64, 100_000
@@ -291,11 +293,35 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
 
     groups = shared.filter(F.col("m") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("members"))
     tiles = groups.select("members").mapInArrow(_bands(num, den), "tile long, cls long").dropDuplicates(["tile", "cls"]).withColumn("side", F.lit(0))
-    hot = shared.filter(F.col("m") > SMALL)
-    if not hot.isEmpty():
-        tiles = tiles.unionByName(_cluster_tiles(hot, num, den))
+    hot = shared.filter(F.col("m") > SMALL).select("token", "cls", "n", "center", F.col("cls").alias("comp"))
+
+    def link(tiles: DataFrame) -> DataFrame:
+        return materialize(_tile_links(texts, info, tiles, n, num, den, classes), "links", narrow=True)
+
+    if hot.isEmpty():
+        return link(tiles)
+    found, before = None, None
+    while True:
+        placed, large = _placed(hot)
+        left = placed.filter("large").count() if large else 0
+        # centres again while each round halves what it leaves; then block by block
+        star = left > 0 and (before is None or 2 * left <= before)
+        more = _block_tiles(placed.filter("not large") if star else placed, num, den)
+        if star:
+            more = more.unionByName(_star_tiles(placed.filter("large"), num, den, 0 if before is None else left))
+        new = link(more if found is not None else more.unionByName(tiles))
+        found = new if found is None else found.unionByName(new)
+        if not star:
+            return found
+        before = left
+        hot = _apart(hot.join(placed.filter("large").select("cls"), "cls", "left_semi"), components(found))
+        if hot.isEmpty():
+            return found
+
+
+def _tile_links(texts: DataFrame, info: DataFrame, tiles: DataFrame, n: int, num: int, den: int, classes: Classes) -> DataFrame:
+    """Spanning links ``a, b`` of each tile: bit counts first, then the sets that they leave."""
     tiles = materialize(tiles, "tiles", narrow=True)
-
     # copies are added up in their own tasks before they meet
     maps = info.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(tiles.select("cls").distinct(), "cls", "left_semi")
 
@@ -332,25 +358,64 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
     return tiles.join(bodies, "cls").groupBy("tile").applyInArrow(verify, "a long, b long")
 
 
-def _cluster_tiles(hot: DataFrame, num: int, den: int) -> DataFrame:
-    """Tiles of the groups above SMALL: clusters of overlapping groups, as pairs of blocks of like size.
+def _placed(hot: DataFrame) -> tuple[DataFrame, bool]:
+    """``cls, n, comp, root, band, large`` of the classes of hot groups, and whether any is large.
 
-    Nothing is gathered by group or cluster: a cluster's size band is dealt over as many blocks
-    as its count asks for, by a hash of the class.
+    ``root`` names a cluster of overlapping groups, ``band`` a range of like sizes; a cluster of
+    more than ``DIRECT`` blocks is large.
     """
     roots = components(hot.select(F.col("center").alias("a"), F.col("cls").alias("b")))
-    size = hot.groupBy("cls").agg(F.max("n").alias("n"))
+    size = hot.groupBy("cls").agg(F.max("n").alias("n"), F.max("comp").alias("comp"))
     banded = size.join(roots.select(F.col("id").alias("cls"), "root"), "cls").withColumn("band", F.floor(F.log("n") / F.lit(np.log(1.05).item())).cast("long"))
-    blocks = banded.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = banded.join(blocks, ["root", "band"])
-    placed = materialize(dealt.select("cls", "n", "root", (F.col("band") * F.lit(1 << 32) + F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block")), "placed", narrow=True)
-    span = placed.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = span.select("root", F.col("block").alias("i"), F.col("high").alias("high")), span.select("root", F.col("block").alias("j"), "low")
-    # blocks of one cluster that hold compatible sizes; both sides are one row for each block
-    pairs = left.join(right, "root").filter((F.col("i") <= F.col("j")) & (F.col("low") * num <= F.col("high") * den))
+    banded = materialize(banded, "banded", narrow=True)
+    large = materialize(banded.groupBy("root").count().filter(F.col("count") > DIRECT * BLOCK).select(F.col("root").alias("r")), "large", narrow=True)
+    return banded.join(large, F.col("root") == F.col("r"), "left").select("cls", "n", "comp", "root", "band", F.col("r").isNotNull().alias("large")), not large.isEmpty()
+
+
+def _dealt(placed: DataFrame, *key: str) -> DataFrame:
+    """``placed`` with a ``block`` of about ``BLOCK`` classes: each (root, band, key) is dealt by a hash of the class, nothing is gathered."""
+    blocks = placed.groupBy("root", "band", *key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = placed.join(blocks, ["root", "band", *key])
+    return dealt.withColumn("block", F.struct("band", *key, F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("k"))).drop("blocks")
+
+
+def _star_tiles(placed: DataFrame, num: int, den: int, seed: int) -> DataFrame:
+    """Tiles of one block (side 0) and the centres of compatible size (side 1): at most ``CENTERS`` of a band, drawn by hash."""
+    dealt = materialize(_dealt(placed).select("cls", "n", "root", "band", "block"), "placed", narrow=True)
+    drawn = F.xxhash64("cls", F.lit(seed))
+    centers = dealt.groupBy("root", "band", F.pmod(drawn, F.lit(CENTERS)).alias("slot")).agg(F.min_by(F.struct("cls", "n"), F.struct(drawn, "cls")).alias("c"))
+    span = dealt.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    meets = span.join(centers.select("root", "c.cls", "c.n"), "root").filter((F.col("n") * num <= F.col("high") * den) & (F.col("low") * num <= F.col("n") * den))
+    tile = F.xxhash64("root", "block").alias("tile")
+    return dealt.select(tile, "cls", F.lit(0).alias("side")).union(meets.select(tile, "cls", F.lit(1).alias("side")))
+
+
+def _block_tiles(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Tiles of all pairs of blocks of one cluster that hold compatible sizes.
+
+    Components of at least ``BLOCK`` classes have blocks of their own, which do not meet each other.
+    """
+    own = placed.groupBy("root", "band", "comp").count().filter(F.col("count") >= BLOCK).select("root", "band", "comp", F.lit(True).alias("own"))
+    marked = placed.join(own, ["root", "band", "comp"], "left").withColumn("one", F.coalesce("own", F.lit(False)))
+    marked = marked.select("cls", "n", "root", "band", "one", F.when(F.col("one"), F.col("comp")).otherwise(F.lit(0)).alias("of"))
+    dealt = materialize(_dealt(marked, "one", "of").select("cls", "n", "root", "one", "of", "block"), "placed", narrow=True)
+    span = dealt.groupBy("root", "block", "one", "of").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left = span.select("root", F.col("block").alias("i"), "high", F.col("one").alias("one_i"), F.col("of").alias("of_i"))
+    right = span.select("root", F.col("block").alias("j"), "low", "one", "of")
+    # both sides are one row for each block; the block of smaller sizes comes first
+    same = F.col("one_i") & F.col("one") & (F.col("of_i") == F.col("of"))
+    pairs = left.join(right, "root").filter((F.col("i") <= F.col("j")) & (F.col("low") * num <= F.col("high") * den) & ~same)
     pairs = pairs.withColumn("tile", F.xxhash64("root", "i", "j"))
     sides = pairs.select("root", F.col("i").alias("block"), "tile", F.lit(0).alias("side")).union(pairs.filter("i < j").select("root", F.col("j").alias("block"), "tile", F.lit(1).alias("side")))
-    return placed.join(sides, ["root", "block"]).select("tile", "cls", "side")
+    return dealt.join(sides, ["root", "block"]).select("tile", "cls", "side")
+
+
+def _apart(hot: DataFrame, joined: DataFrame) -> DataFrame:
+    """The hot groups whose classes are in several components still, each class with its ``comp``."""
+    named = hot.drop("comp").join(joined.select(F.col("id").alias("cls"), F.col("root").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = materialize(named, "hot")
+    mixed = named.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
+    return materialize(named.join(mixed.select("token"), "token", "left_semi").select("token", "cls", "n", "center", "comp"), "hot")
 
 
 def id_filter(chosen: DataFrame) -> Callable[[pa.Array], pa.Array]:
