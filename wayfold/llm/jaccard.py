@@ -322,8 +322,8 @@ def _class_links(spark: SparkSession, texts: DataFrame, info: DataFrame, describ
 def _tile_links(texts: DataFrame, info: DataFrame, tiles: DataFrame, n: int, num: int, den: int, classes: Classes) -> DataFrame:
     """Spanning links ``a, b`` of each tile: bit counts first, then the sets that they leave."""
     tiles = materialize(tiles, "tiles", narrow=True)
-    # copies are added up in their own tasks before they meet
-    maps = info.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(tiles.select("cls").distinct(), "cls", "left_semi")
+    # copies are added up in their own tasks before they meet; a semi-join would be pushed below that
+    maps = info.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     def thin(table: pa.Table) -> pa.Table:
         cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()
