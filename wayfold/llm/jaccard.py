@@ -83,7 +83,10 @@ class Classes:
     def of(cls, info: DataFrame, bits: int) -> Classes:
         """Names that fit the corpus: ``info`` has both sums (``cls, other``) of every set."""
         mixed = info.groupBy("cls").agg(F.min("other").alias("least"), F.max("other").alias("most")).filter("least <> most")
-        rest = info.join(mixed.select("cls", "least"), "cls").filter("other <> least").select("cls", "other").distinct().limit(MAX_APART + 1).collect()
+        mixed = materialize(mixed.select("cls", "least"), "mixed", narrow=True)  # hardly ever a row: the sets meet it only where there is one
+        if mixed.isEmpty():
+            return cls(bits)
+        rest = info.select("cls", "other").distinct().join(mixed, "cls").filter("other <> least").select("cls", "other").limit(MAX_APART + 1).collect()
         if len(rest) > MAX_APART:  # of n sets, about n * n / 2**65 are expected
             raise ValueError(f"more than {MAX_APART} sets share a 64-bit sum with another one")
         return cls(bits, {(r["cls"], r["other"]): int(mix(mix(np.array([r["other"]], np.int64).view(_U)) ^ np.array([r["cls"]], np.int64).view(_U)).view(np.int64)[0]) for r in rest})
