@@ -290,3 +290,79 @@ def test_near_passages_are_found(spark):
             want.add(2 * k + 1)
     got = {x["doc_id"] for x in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(want) > 80 and len(want & got) >= 0.95 * len(want)
+
+
+def halves_then_copies(r, edits):
+    """Sixteen documents hold a passage in halves only; the last ones hold all of it, each with its own changed words."""
+    passage = prose(r, 60, 10**6)
+    texts = [prose(r, 30, 10**6) + (passage[:34] if d % 2 else passage[26:]) + prose(r, 30, 10**6) for d in range(16)]
+    for k in edits:
+        own = [f"n{len(texts)}" if i == k else w for i, w in enumerate(passage)]
+        texts.append(prose(r, 60, 10**6) + own + prose(r, 60, 10**6))
+    return texts
+
+
+def test_near_copies_whose_shingles_all_stand_in_earlier_documents(spark):
+    r, docs, want = random.Random(43), [], set()
+    for _ in range(20):
+        for k, w in enumerate(halves_then_copies(r, [None, 30, 25])):
+            docs.append((len(docs), " ".join(w)))
+            if k >= 17:  # one changed word: 0.84 with the first whole passage
+                want.add(docs[-1][0])
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in rows} <= want and len({x["doc_id"] for x in rows}) >= 0.95 * len(want)
+
+
+def test_keeper_that_holds_the_passage_at_a_later_place(spark):
+    """The keeper holds the passage's parts before it holds the passage; nobody else does."""
+    r, docs = random.Random(47), []
+    for k in range(60):
+        passage = prose(r, 50, 10**6)
+        w = prose(r, 20, 10**6)
+        for a, b in ((0, 40), (10, 50), (5, 45)):
+            w += passage[a:b] + prose(r, 30, 10**6)
+        docs += [(2 * k, " ".join(w + passage + prose(r, 20, 10**6))), (2 * k + 1, " ".join(prose(r, 70, 10**6) + passage + prose(r, 70, 10**6)))]
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    whole = {(x["doc_id"], x["kept_doc_id"]) for x in rows if x["first_word"] <= 70 and x["last_word"] >= 119}
+    assert whole == {(2 * k + 1, 2 * k) for k in range(60)}
+
+
+def test_least_shingles_by_hand():
+    from wayfold.llm.substring_dedup import prefixes
+
+    r = np.random.default_rng(9)
+    number = r.integers(1, 1 << 62, 30).astype(np.uint64)
+    own, t, size = number[r.integers(0, 30, 70)], 9, 3
+    rare = dict(zip(number.tolist(), r.integers(0, 3, 30).tolist()))
+    level = np.array([rare[x] for x in own.tolist()])
+    start = np.array([0, 1, 2, 3, 10, 11, 30, 31, 32, 33, 34, 61])
+    is_open = start % 2 == 0
+    # the order is the module's own; a passage's least are its first different values in it
+    h = {int(v): k for k, v in enumerate(sorted(set(own.tolist()), key=lambda v: (rare[v], int(ordered(np.array([v], np.uint64), 0)[0]) >> 20)))}
+    want: dict[int, list] = {}
+    for s, o in zip(start.tolist(), is_open.tolist()):
+        for v in sorted(set(own[s : s + t].tolist()), key=h.get)[:size]:
+            want.setdefault(int(v), []).append((s, o))
+    got: dict[int, list] = {}
+    for place, low, high, first, last in zip(*(x.tolist() for x in prefixes(own, level, start, is_open, t, size))):
+        got.setdefault(int(own[place]), []).append((low, high - t + 1, first, last))
+    assert got.keys() == want.keys()
+    for v, rows in got.items():
+        assert min(x[0] for x in rows) == min(s for s, _ in want[v]) and max(x[1] for x in rows) == max(s for s, _ in want[v])
+        assert all(any(x[0] <= s <= x[1] for x in rows) for s, _ in want[v])
+        assert all(any(x[2] <= s <= x[3] for x in rows) for s, o in want[v] if o)
+        assert any(x[3] >= 0 for x in rows) == any(o for _, o in want[v])
+
+
+def test_group_larger_than_every_round(spark, monkeypatch):
+    """Many documents share each half of a passage, so their group is met part by part up to its last document."""
+    from wayfold.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "SMALL", 1)
+    r = random.Random(53)
+    passage = prose(r, 60, 10**6)
+    texts = [prose(r, 30, 10**6) + (passage[:34] if d % 2 else passage[26:]) + prose(r, 30, 10**6) for d in range(90)]
+    texts[70:70] = [prose(r, 60, 10**6) + passage + prose(r, 60, 10**6)]
+    texts.append(prose(r, 60, 10**6) + [f"n{i}" if i == 30 else w for i, w in enumerate(passage)] + prose(r, 60, 10**6))
+    rows = repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["kept_doc_id"]) for x in rows} == {(len(texts) - 1, 70)}

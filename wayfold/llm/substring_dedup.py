@@ -12,16 +12,17 @@ of nodes that some passage of ``t`` shingles holds.
 2. Every other window is joined to the first document's window of its group, so a group costs
    its size, not its square.  Intervals of two documents on one diagonal are joined and verified
    on the shingles themselves, trimmed to the passages that really repeat.
-3. The first document of a group need not hold the passage that later ones share.  Windows that
-   stay outside every verified passage, in groups of three documents or more, are valued anew
-   (two signatures of one passage must have met such a group; without a common first document
-   that does not hold the passage, any one of them would have found it):
-   shingles are ordered by how many of the documents in question hold them (in steps of ``SMALL``
-   times) before their hash, so a common line is the minimum only where nothing rarer stands
-   beside it.  Windows on shingles of at most ``SMALL`` documents meet their whole group.  Passages
-   of common shingles only meet the first document with a pair of their minima; what is still
-   open then, the first documents of 1, 4, 16 and more parts of those with all their minima, until
-   a passage is found or every one has been met.
+3. The first document of a group need not hold the passage that later ones share, or not at its
+   first place.  A passage of ``t`` shingles is *settled* when all but ``unlike`` of them lie in one
+   verified passage.  Windows with passages that are not, in groups of three documents or more or whose first
+   document has several windows of the signature, are listed, and with them all windows of their
+   groups.  Two passages of ``t`` shingles that share all but ``unlike`` of them have one of their
+   ``unlike + 1`` least shingles in common, under any order (prefix filter); here a shingle
+   that few listed documents hold (in steps of ``SMALL`` times) comes first, so that a common line
+   only counts where next to nothing rarer stands beside it.  A shingle of at most ``SMALL``
+   documents brings all of them together.  Of one that more hold, open passages meet the first
+   document, then the first documents of 4, 16 and more parts, until they are settled or have met
+   every one: no link between two listed passages is left out, and no number bounds a group.
 
 No step depends on how rows are dealt over files, tasks or batches.
 """
@@ -42,12 +43,10 @@ BANDS = 3
 GRID = 64
 DRIFT = 32
 SMALL = 8
-#: Signatures of one passage that must have met others before it is searched again.
-NEEDED = 2
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
-#: A window's place: the first node's position, the second one's distance, the signature's number.
-_POS, _DIST = 24, 19
+#: A window's place: the first node's position, the second one's distance, the signature's number and whether its text has it again.
+_POS, _DIST, _AGAIN = 24, 19, 8
 
 
 def _seed(f: int) -> np.uint64:
@@ -162,38 +161,33 @@ def _emit(n: int, t: int, heads: bool):
                     of, key, c1, c2, first, last = signature_windows(value, off, start, row, t, band)
                     columns = [key.view(np.int64), ids[a + of], (c1 << _POS) | ((c2 - c1 + (1 << _DIST)) << 4) | band, (first << 32) | last]
                     if heads:
-                        once = np.sort(np.unique(key ^ mix(of.astype(np.uint64)), return_index=True)[1])
+                        once, times = np.unique(key ^ mix(of.astype(np.uint64)), return_index=True, return_counts=True)[1:]
+                        columns[2][once] |= np.where(times > 1, _AGAIN, 0)
+                        once.sort()
                         columns = [c[once] for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "place", "extent"])
 
     return run
 
 
-def _starts(t: int):
-    """``doc, starts``: runs ``a, b, open`` of starts of passages that windows of ``NEEDED`` signatures hold."""
+def _starts(t: int, least: int):
+    """``doc_id, starts``: runs ``a, b, open`` of starts of passages in listed windows; open are those of open windows that no verified passage settles."""
 
     def run(batches):
         for batch in batches:
             docs, found = [], []
-            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                place, extent, is_open = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                c1, band = place >> _POS, place & 15
-                c2 = c1 + ((place >> 4) & ((1 << (_DIST + 1)) - 1)) - (1 << _DIST)
-                begin = np.maximum(extent >> 32, np.maximum(c1, c2) - t + 1)
-                end = np.minimum((extent & 0xFFFFFFFF) - t + 1, np.minimum(c1, c2)) + 1
-                edge = np.unique(np.concatenate([begin, end]))
-                if len(edge) < 2:
-                    continue
-                seen, opened = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
-                for k in np.unique(band):
-                    own = band == k
-                    held = _depth(edge, begin[own], end[own])
-                    seen += held > 0
-                    opened += _depth(edge, begin[own & is_open], end[own & is_open])
-                at = np.flatnonzero(seen[:-1] >= NEEDED)
-                if len(at):
-                    docs.append(doc)
-                    found.append([{"a": int(edge[i]), "b": int(edge[i + 1]), "open": bool(opened[i])} for i in at])
+            for doc, rows, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                begin, end, is_open = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                end, done = end - t + 2, np.empty((2, 0), np.int64)
+                if spans.is_valid:
+                    done = np.stack([spans.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)])
+                    done = done[:, done[1] - done[0] + 1 >= least] + [[least - t], [2 - least]]
+                edge = np.unique(np.concatenate([begin, end, *done]))
+                held = _depth(edge, begin, end) > 0
+                opened = (_depth(edge, begin[is_open], end[is_open]) > 0) & (_depth(edge, *done) == 0)
+                at = np.flatnonzero(held[:-1])
+                docs.append(doc)
+                found.append([{"a": int(edge[i]), "b": int(edge[i + 1]), "open": bool(opened[i])} for i in at])
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())])))], ["doc_id", "starts"])
 
     return run
@@ -234,8 +228,8 @@ def _held(n: int, t: int):
     return run
 
 
-def _anew(n: int, t: int):
-    """Windows ``key, doc, place, extent, open, hashes`` of the listed passages, rare shingles first."""
+def _anew(n: int, t: int, size: int):
+    """Least shingles of the listed passages, as rows of ``PREFIXES``."""
 
     def run(batches):
         for batch in batches:
@@ -253,32 +247,51 @@ def _anew(n: int, t: int):
                         at = np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)
                         level = np.where(known[order[at]] == own, common.field(1).to_numpy()[order[at]], 0)
                     start = np.flatnonzero(starts)
-                    row = np.cumsum(np.diff(start, prepend=start[:1] - 1) > 1)  # runs of passages that follow each other
                     if len(start):
-                        found = [minima(ordered(own, f, level), start, row, t) for f in range(2 * BANDS)]
-                        yield from _keyed(own, ids[i], start, is_open[start], t, level, found)
+                        place, *columns = prefixes(own, level, start, is_open[start], t, size)
+                        arrays = [own[place].view(np.int64), np.full(len(place), ids[i], np.int64), place, *columns, level[place] > 0]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["key", "doc", "place", "low", "high", "first", "last", "common"])
 
     return run
 
 
-def _keyed(own: np.ndarray, doc: int, start: np.ndarray, is_open: np.ndarray, t: int, level: np.ndarray, found: list[tuple]):
-    """Windows of one hash function where its minimum is rare; of two and of all where none of theirs is."""
-    several = [[2 * k, 2 * k + 1] for k in range(BANDS)] + [list(range(2 * BANDS))] if level.any() else []
-    for hashes in [[f] for f in range(2 * BANDS)] + several:
-        nodes, centres = [found[f][0] for f in hashes], [found[f][2] for f in hashes]
-        new = np.ones(len(start), bool)
-        new[1:] = np.any([n[1:] != n[:-1] for n in nodes], axis=0)
-        at = np.flatnonzero(new)
-        held = [c[n[at]] for n, c in zip(nodes, centres, strict=True)]
-        good = np.all([(level[c] > 0) == (len(hashes) > 1) for c in held], axis=0)
-        last = start[np.append(at[1:], len(start)) - 1] + t - 1
-        opened = np.add.reduceat(is_open, at, dtype=np.int64) > 0
-        key = np.full(len(at), hashes[0] + 97 * len(hashes), np.uint64)
-        for c in held:
-            key = mix(key * _seed(7) + own[c])
-        columns = (key.view(np.int64), np.full(len(at), doc, np.int64), held[0] << _POS | (1 << _DIST) << 4 | hashes[0], start[at] << 32 | last, opened, np.full(len(at), len(hashes), np.int64))
-        if good.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in columns], ["key", "doc", "place", "extent", "open", "hashes"])
+#: A shingle's place, the passages of the starts ``low`` to ``high - t + 1`` that have it among their least, and the open ones of them (-1: none).
+PREFIXES = "key long, doc long, place long, low long, high long, first long, last long, common boolean"
+
+
+def prefixes(own: np.ndarray, level: np.ndarray, start: np.ndarray, is_open: np.ndarray, t: int, size: int) -> tuple[np.ndarray, ...]:
+    """``place, low, high, first, last`` of the ``size`` least different shingles of the passages that begin at ``start``.
+
+    Places of one shingle that are less than ``t`` apart are one row.
+    """
+    h = (mix(own + _seed(0)) >> _U(4)) | (level.astype(np.uint64) << _U(60))
+    order = np.argsort(own, kind="stable")
+    again = own[order[1:]] == own[order[:-1]]
+    before = np.full(len(own), -1)
+    before[order[1:][again]] = order[:-1][again]
+    none, top = len(own), np.iinfo(np.uint64).max
+    low, high, first, last = np.full(none, none), np.full(none, -1), np.full(none, none), np.full(none, -1)
+    windows, earlier = (np.lib.stride_tricks.sliding_window_view(x, t) for x in (h, before))
+    step = max(1, (1 << 18) // t)
+    for i in range(0, len(start), step):
+        s = start[i : i + step]
+        x = windows[s]
+        x[earlier[s] >= s[:, None]] = top  # a shingle counts once in a passage
+        bound = np.partition(x, size - 1, axis=1)[:, size - 1 :][:, :1]
+        row, k = np.nonzero((x <= bound) & (x < top))
+        own_open = is_open[i : i + step][row]
+        begin, at = s[row], s[row] + k
+        np.minimum.at(low, at, begin)
+        np.maximum.at(high, at, begin)
+        np.minimum.at(first, at[own_open], begin[own_open])
+        np.maximum.at(last, at[own_open], begin[own_open])
+    at = np.flatnonzero(high >= 0)
+    at = at[np.lexsort((at, own[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (own[at[1:]] != own[at[:-1]]) | (at[1:] - at[:-1] >= t)
+    head = np.flatnonzero(new)
+    first, last = np.minimum.reduceat(first[at], head), np.maximum.reduceat(last[at], head)
+    return at[head], np.minimum.reduceat(low[at], head), np.maximum.reduceat(high[at], head) + t - 1, np.where(last < 0, -1, first), last
 
 
 def _at(place: Column) -> Column:
@@ -290,7 +303,15 @@ def _lined(place: Column, extent: Column, k_place: Column, k_extent: Column) ->
     shift = _at(k_place) - _at(place)
     last = lambda e: e.bitwiseAND(F.lit(0xFFFFFFFF))
     low = F.greatest(F.shiftright(extent, 32), F.shiftright(k_extent, 32) - shift)
-    return [low.alias("low"), F.least(last(extent), last(k_extent) - shift).alias("high"), shift.alias("shift")]
+    return [low.alias("low"), F.least(last(extent), last(k_extent) - shift).alias("high"), shift.alias("shift"), shift.alias("s0"), shift.alias("s1")]
+
+
+def _hull(place: Column, extent: Column, t: int) -> list[Column]:
+    """``low, high``: first and last shingle of a window's passages of ``t`` shingles."""
+    one = _at(place)
+    two = one + F.shiftright(place, 4).bitwiseAND(F.lit((1 << (_DIST + 1)) - 1)) - F.lit(1 << _DIST)
+    low = F.greatest(F.shiftright(extent, 32), F.greatest(one, two) - (t - 1))
+    return [low.alias("low"), F.least(extent.bitwiseAND(F.lit(0xFFFFFFFF)), F.least(one, two) + (t - 1)).alias("high")]
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -317,8 +338,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, n: int = 5, num: int
 
     lined = met.filter("doc > kept").select("doc", "kept", *_lined(F.col("place"), F.col("extent"), F.col("k_place"), F.col("k_extent")))
     found = materialize(_verified(texts, _pieces(lined), n, t, num, den), "found")
-    # a group of two has nobody else to meet
-    found = _later(texts, met.filter("docs > 2").select("key", "doc", "place", "extent", "kept"), found, n, t, num, den)
+    # a group of two whose first document has the signature once has nothing else to meet
+    crowded = met.filter((F.col("docs") > 2) | (F.col("k_place").bitwiseAND(F.lit(_AGAIN)) > 0))
+    found = _later(texts, crowded.select("key", "doc", "kept", *_hull(F.col("place"), F.col("extent"), t)), found, n, t, num, den)
     # two lanes of one passage may give the same stretch
     keeper = F.min(F.struct("kept_doc_id", "kept_first_word", "kept_last_word", "similarity")).alias("k")
     return found.groupBy("doc_id", "first_word", "last_word").agg(keeper).select("doc_id", "first_word", "last_word", "k.*")
@@ -328,21 +350,32 @@ def _spans(found: DataFrame, n: int) -> DataFrame:
     return found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("last_word") - n + 1).alias("b"))).alias("spans"))
 
 
-def _outside(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """Windows whose first node lies in no passage of ``found``."""
-    inside = F.exists("spans", lambda s: _at(F.col("place")).between(s["a"], s["b"]))
-    return rows.join(_spans(found, n), "doc", "left").filter(~F.coalesce(inside, F.lit(False))).drop("spans")
+def _unsettled(rows: DataFrame, first: Column, last: Column, found: DataFrame, n: int, t: int, least: int) -> DataFrame:
+    """Rows of passages with starts ``first`` to ``last`` that no passage of ``found`` settles: it holds ``least`` of the shingles of each."""
+    holds = lambda s, x: F.least(s["b"], x + (t - 1)) - F.greatest(s["a"], x) + 1 >= least
+    settled = F.exists("spans", lambda s: holds(s, first) & holds(s, last))
+    return rows.join(_spans(found, n), "doc", "left").filter(~F.coalesce(settled, F.lit(False))).drop("spans")
+
+
+def unlike(n: int, t: int, num: int, den: int) -> int:
+    """Most shingles of a passage of ``t`` that one with J >= num/den may lack.
+
+    J >= num/den leaves both sides together (den - num)/num shingles for each shared one; words
+    put in, left out or changed between shared ones break ``n - 1`` shingles or more of either side.
+    """
+    return max(0, (t * (den - num) - (n - 1) * num) // den)
 
 
 def _later(texts: DataFrame, crowded: DataFrame, found: DataFrame, n: int, t: int, num: int, den: int) -> DataFrame:
-    """``found`` and the passages around the windows that it leaves open, against later members of their groups."""
-    left = materialize(_outside(crowded.filter("doc > kept"), found, n).select("key", "doc", "place", F.lit(True).alias("open")), "open")
+    """``found`` and the passages that it leaves open, against all other members of their groups."""
+    least = t - unlike(n, t, num, den)
+    left = _unsettled(crowded.filter("doc > kept"), F.col("low"), F.col("high") - (t - 1), found, n, t, least)
+    left = materialize(left.select("key", "doc", "low", "high"), "open")
     if left.isEmpty():
         return found
-    groups = crowded.join(left.select("key").distinct(), "key", "left_semi").select("key", "doc", "place", "extent")
-    groups = groups.join(left, ["key", "doc", "place"], "left")
-    listed = groups.groupBy("doc").agg(F.collect_list(F.struct("place", "extent", F.coalesce("open", F.lit(False)).alias("open"))).alias("rows"))
-    listed = materialize(map_texts(listed, _starts(t), "doc_id long, starts array<struct<a: long, b: long, open: boolean>>"), "listed")
+    groups = crowded.join(left.select("key").distinct(), "key", "left_semi").select("doc", "low", "high", F.lit(False).alias("open"))
+    listed = groups.unionByName(left.select("doc", "low", "high", F.lit(True).alias("open"))).groupBy("doc").agg(F.collect_set(F.struct("low", "high", "open")).alias("rows"))
+    listed = materialize(map_texts(listed.join(_spans(found, n), "doc", "left").select("doc", "rows", "spans"), _starts(t, least), "doc_id long, starts array<struct<a: long, b: long, open: boolean>>"), "listed")
     if listed.filter(F.exists("starts", lambda x: x["open"])).isEmpty():
         return found
     own = materialize(_of_ids(texts, listed.select("doc_id")).join(listed, "doc_id"), "texts")
@@ -351,38 +384,38 @@ def _later(texts: DataFrame, crowded: DataFrame, found: DataFrame, n: int, t: in
     level = F.least(F.lit(15), F.greatest(F.lit(1), F.ceil(F.log("docs") / float(np.log(max(2, SMALL)))) - 1)).cast("long")
     common = held.groupBy("shingle").agg(F.count("*").alias("docs")).filter(F.col("docs") > SMALL).withColumn("level", level)
     marks = held.join(common.select("shingle", "level"), "shingle").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("shingle", "level")).alias("common"))
-    windows = map_texts(own.join(marks, "doc_id", "left").select("doc_id", "text", "starts", "common"), _anew(n, t), "key long, doc long, place long, extent long, open boolean, hashes long")
+    windows = map_texts(own.join(marks, "doc_id", "left").select("doc_id", "text", "starts", "common"), _anew(n, t, t - least + 1), PREFIXES)
     windows = materialize(windows, "windows")
-    wanted = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("open"), F.col("doc"))).alias("top"), F.count("*").alias("rows")).filter("top > least")
+    wanted = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("last") >= 0, F.col("doc"))).alias("top"), F.count("*").alias("rows")).filter("top > least")
     windows = materialize(windows.join(wanted.drop("top"), "key"), "windows")
 
     own = own.select("doc_id", "text")
-    other = lambda rows: rows.select("key", F.col("doc").alias("kept"), F.col("place").alias("k_place"), F.col("extent").alias("k_extent"))
-    line = lambda rows: rows.select("doc", "kept", *_lined(F.col("place"), F.col("extent"), F.col("k_place"), F.col("k_extent")))
-    least_of = lambda rows, *by: rows.groupBy("key", *[F.col(c).alias("by") if isinstance(c, str) else c for c in by]).agg(F.min(F.struct("doc", "place", "extent")).alias("m")).select("key", "m.*")
-    pending = windows.filter("open and doc > least")
-    rare = pending.filter("hashes = 1").join(other(least_of(windows.filter("hashes = 1"), "doc")), "key").filter("kept < doc")  # at most SMALL documents hold the shingle
-    common = pending.filter("hashes = 2").join(other(least_of(windows.filter("hashes = 2 and doc = least"))), "key")
-    part = materialize(_verified(own, _pieces(line(rare).unionByName(line(common))), n, t, num, den), "found")
-    found = found.unionByName(part)
-
-    members = windows.filter(f"hashes = {2 * BANDS}")
-    pending = materialize(_outside(pending.filter(f"hashes = {2 * BANDS}"), part, n).select("key", "doc", "place", "extent", "rows"), "pending")
-    parts = 1
-    while not pending.isEmpty():
-        # the first documents of 1, 4, 16, ... parts of a group, at last all of its documents
-        one = least_of(members.filter(F.col("rows") > parts), F.pmod(F.xxhash64("doc"), F.lit(parts))).unionByName(least_of(members.filter(F.col("rows") <= parts), "doc"))
-        part = materialize(_verified(own, _pieces(line(pending.join(other(one), "key").filter("kept < doc"))), n, t, num, den), "found")
-        found = found.unionByName(part)
-        pending = materialize(_outside(pending.filter(F.col("rows") > parts), part, n), "pending")
+    other = lambda rows: rows.select("key", F.col("doc").alias("kept"), F.col("place").alias("k_place"), F.col("low").alias("k_low"), F.col("high").alias("k_high"))
+    line = lambda rows: rows.filter("kept < doc").select("doc", "kept", "low", "high", F.expr("k_place - place").alias("shift"), F.expr("k_low - low").alias("s0"), F.expr("k_high - high").alias("s1"))
+    pending = windows.filter("last >= 0 and doc > least")
+    members = windows.filter("common")
+    rare = pending.filter("not common").join(other(windows.filter("not common")), "key")  # at most SMALL documents hold the shingle
+    pending = pending.filter("common")
+    part = materialize(_verified(own, _pieces(line(rare).unionByName(line(pending.join(other(members.filter("doc = least")), "key")))), n, t, num, den), "found")
+    found, parts = found.unionByName(part), 1
+    before = members.filter("doc = least").select("key", "doc").distinct()  # whom all pending ones have met
+    pending = _unsettled(pending, F.col("first"), F.col("last"), part, n, t, least)
+    while not (pending := materialize(pending.filter(F.col("rows") > parts), "pending")).isEmpty():
         parts *= 4
+        # the first documents of 4, 16, ... parts of a group, at last all of its documents
+        firsts = members.filter(F.col("rows") > parts).groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("by")).agg(F.min("doc").alias("doc")).drop("by")
+        one = members.join(firsts, ["key", "doc"], "left_semi").unionByName(members.filter(F.col("rows") <= parts)).join(before, ["key", "doc"], "left_anti")
+        before = firsts
+        part = materialize(_verified(own, _pieces(line(pending.join(other(one), "key"))), n, t, num, den), "found")
+        found = found.unionByName(part)
+        pending = _unsettled(pending, F.col("first"), F.col("last"), part, n, t, least)
     return found
 
 
 def _pieces(lined: DataFrame) -> DataFrame:
     """The stretches of two documents near one diagonal, joined, with the keeper's stretch; verification parts what does not belong together."""
     lined = lined.withColumn("lane", F.round(F.col("shift") / DRIFT).cast("long"))
-    pieces = lined.groupBy("doc", "kept", "lane").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("shift").alias("s0"), F.max("shift").alias("s1"))
+    pieces = lined.groupBy("doc", "kept", "lane").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
     # the keeper's stretch on a grid that grows with its length: few different ones for each document
     begin, end = F.greatest(F.lit(0).cast("long"), F.col("low") + F.col("s0") - GRID), F.col("high") + F.col("s1") + GRID
     grid = F.expr(f"shiftleft(1L, greatest({GRID.bit_length() - 1}, cast(floor(log2(greatest(1, high - low + s1 - s0))) as int) - 2))")
