@@ -366,3 +366,37 @@ def test_group_larger_than_every_round(spark, monkeypatch):
     texts.append(prose(r, 60, 10**6) + [f"n{i}" if i == 30 else w for i, w in enumerate(passage)] + prose(r, 60, 10**6))
     rows = repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")).collect()
     assert {(x["doc_id"], x["kept_doc_id"]) for x in rows} == {(len(texts) - 1, 70)}
+
+
+def test_windows_that_differ_in_own_words_only_meet_as_one(spark, monkeypatch):
+    """Each document has a common passage behind words of its own said again and again: nobody settles the passages across, and they do not meet in pairs."""
+    from wayfold.llm import substring_dedup
+
+    rows, pieces = [], substring_dedup._pieces
+
+    def counted(lined):
+        made = pieces(lined)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(substring_dedup, "_pieces", counted)
+    r = random.Random(59)
+    passage, n = prose(r, 70, 10**6), 150
+    docs = [(d, " ".join([f"j{d}"] * 30 + passage + prose(r, 40, 10**6))) for d in range(n)]
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got} == set(range(1, n))
+    assert sum(rows) <= 12 * n
+
+
+def test_contents_by_hand():
+    from wayfold.llm.substring_dedup import contents
+
+    r = np.random.default_rng(61)
+    common = r.integers(1, 1 << 62, 6).astype(np.uint64)
+    own = lambda *places: np.array([common[p] if p < 6 else p for p in places], np.uint64)  # noqa: E731  10 and more: nobody else's
+    text = [own(0, 1, 10, 10, 2), own(0, 1, 20, 20, 2), own(0, 1, 20, 21, 2), own(0, 1, 10, 2, 10), own(0, 1, 1, 1, 2)]
+    value = [int(contents(x, (x > 100).astype(np.int64), np.array([0]), np.array([4]))[0]) for x in text]
+    assert value[0] == value[1] and len(set(value)) == 4
+    x = np.concatenate(text)
+    some = contents(x, (x > 100).astype(np.int64), np.array([0, 5, 20, 20]), np.array([4, 9, 24, 23]))
+    assert some[0] == some[1] == value[0] and int(some[2]) == value[4] and some[3] != some[2]

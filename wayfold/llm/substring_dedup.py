@@ -17,18 +17,24 @@ of nodes that some passage of ``t`` shingles holds.
    verified passage.  Windows with passages that are not, in groups of three documents or more or whose first
    document has several windows of the signature, are listed, and with them all windows of their
    groups.  Two passages of ``t`` shingles that share all but ``unlike`` of them have one of their
-   ``unlike + 1`` least shingles in common, under any order (prefix filter); here a shingle
-   that few listed documents hold (in steps of ``SMALL`` times) comes first, so that a common line
-   only counts where next to nothing rarer stands beside it.  A shingle of at most ``SMALL``
-   documents brings all of them together.  Of one that more hold, open passages meet the first
-   document, then the first documents of 4, 16 and more parts, until they are settled or have met
-   every one: no link between two listed passages is left out, and no number bounds a group.
+   ``unlike + 1`` least shingles in common, under any order (prefix filter); here shingles of one
+   text come first, which meet nobody, then those that few listed texts hold (in steps of ``SMALL``
+   times), so that a common line only counts where next to nothing rarer stands beside it.  A shingle
+   of at most ``SMALL`` texts brings all of them together.  Of one that more hold, windows that are
+   equal but for shingles that nobody else has are one class, for which its first document stands:
+   a third text shares as much with each of them.  Open passages meet the first documents of their
+   own class and of the group, then the first ones of 4, 16 and more parts of the classes, until they
+   are settled or have met every class; no number bounds a group.  One link that the order before
+   found is known to be left out (README).
 
 No step depends on how rows are dealt over files, tasks or batches.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -145,8 +151,8 @@ def _rows(column: pa.Array, n: int):
         yield a, b, shingle, s_off, counts
 
 
-def _emit(n: int, t: int, heads: bool):
-    """Windows ``key, doc, place, extent`` (first and last shingle); as ``heads`` only a text's first window of each signature."""
+def _emit(n: int, t: int, heads: bool, keep: Callable[[pa.Array], pa.Array] | None = None):
+    """Windows ``key, doc, place, extent`` (first and last shingle); as ``heads`` only a text's first window of each signature, with ``keep`` only those whose key passes."""
     if t >= 1 << _DIST:
         raise ValueError(f"passages of {1 << _DIST} shingles and more have no place")
 
@@ -165,7 +171,8 @@ def _emit(n: int, t: int, heads: bool):
                         columns[2][once] |= np.where(times > 1, _AGAIN, 0)
                         once.sort()
                         columns = [c[once] for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "place", "extent"])
+                    found = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "place", "extent"])
+                    yield found.filter(keep(found.column(0))) if keep else found
 
     return run
 
@@ -228,7 +235,7 @@ def _held(n: int, t: int):
     return run
 
 
-def _anew(n: int, t: int, size: int):
+def _anew(n: int, t: int, size: int, most: np.ndarray):
     """Least shingles of the listed passages, as rows of ``PREFIXES``."""
 
     def run(batches):
@@ -240,35 +247,66 @@ def _anew(n: int, t: int, size: int):
                     if len(own) < t:
                         continue
                     starts, is_open = _chosen(batch.column(2)[i].values, len(own) - t + 1)
-                    level = np.zeros(len(own), np.int64)
-                    if batch.column(3)[i].is_valid and len(common := batch.column(3)[i].values):
-                        known = common.field(0).to_numpy().view(np.uint64)
-                        order = np.argsort(known)
-                        at = np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)
-                        level = np.where(known[order[at]] == own, common.field(1).to_numpy()[order[at]], 0)
+                    marks = batch.column(3)[i].values
+                    known = marks.field(0).to_numpy().view(np.uint64)
+                    order = np.argsort(known)
+                    at = order[np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)]
+                    level = np.where(known[at] == own, marks.field(1).to_numpy()[at], 0)
                     start = np.flatnonzero(starts)
                     if len(start):
-                        place, *columns = prefixes(own, level, start, is_open[start], t, size)
-                        arrays = [own[place].view(np.int64), np.full(len(place), ids[i], np.int64), place, *columns, level[place] > 0]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["key", "doc", "place", "low", "high", "first", "last", "common"])
+                        place, *columns = prefixes(own, level, start, is_open[start], t, size, most)
+                        shared = level[place] > 0
+                        place, columns = place[shared], [c[shared] for c in columns]
+                        often, same = level[place] > 1, np.zeros(len(place), np.uint64)
+                        same[often] = contents(own, level, columns[0][often], columns[1][often])
+                        arrays = [own[place].view(np.int64), np.full(len(place), ids[i], np.int64), place, *columns, often, same.view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["key", "doc", "place", "low", "high", "first", "last", "common", "same"])
 
     return run
 
 
-#: A shingle's place, the passages of the starts ``low`` to ``high - t + 1`` that have it among their least, and the open ones of them (-1: none).
-PREFIXES = "key long, doc long, place long, low long, high long, first long, last long, common boolean"
-
+#: A shingle's place, the passages of the starts ``low`` to ``high - t + 1`` that have it among their least, the open ones of them (-1: none),
+#: and of a common shingle the value of the stretch ``low`` to ``high``.
+PREFIXES = "key long, doc long, place long, low long, high long, first long, last long, common boolean, same long"
 
-def prefixes(own: np.ndarray, level: np.ndarray, start: np.ndarray, is_open: np.ndarray, t: int, size: int) -> tuple[np.ndarray, ...]:
-    """``place, low, high, first, last`` of the ``size`` least different shingles of the passages that begin at ``start``.
 
-    Places of one shingle that are less than ``t`` apart are one row.
-    """
-    h = (mix(own + _seed(0)) >> _U(4)) | (level.astype(np.uint64) << _U(60))
+def places_before(own: np.ndarray) -> np.ndarray:
+    """The last place before each one with the same shingle, or -1."""
     order = np.argsort(own, kind="stable")
     again = own[order[1:]] == own[order[:-1]]
     before = np.full(len(own), -1)
     before[order[1:][again]] = order[:-1][again]
+    return before
+
+
+def contents(own: np.ndarray, level: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One value for each stretch ``low`` to ``high``: equal for equal shingles in equal order.
+
+    Shingles of level 0, which no other text has, count as equal where they are new in the stretch, and where they are not:
+    any third text shares as much with the one stretch as with the other.
+    """
+    before = places_before(own)
+    out = np.empty(len(low), np.uint64)
+    size = high - low + 1
+    step = max(1, (1 << 18) // max(1, int(size.max(initial=1))))
+    for i in range(0, len(low), step):
+        n = size[i : i + step]
+        cut = np.cumsum(n) - n
+        nth = np.arange(int(n.sum())) - np.repeat(cut, n)
+        at = np.repeat(low[i : i + step], n) + nth
+        value = np.where(level[at] > 0, own[at], np.where(before[at] < at - nth, _U(1), _U(2)))
+        out[i : i + step] = mix(np.add.reduceat(mix(value ^ mix(nth.astype(np.uint64) + _seed(1))), cut) ^ n.astype(np.uint64))
+    return out
+
+
+def prefixes(own: np.ndarray, level: np.ndarray, start: np.ndarray, is_open: np.ndarray, t: int, size: int, most: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``place, low, high, first, last`` of the ``size`` least different shingles of the passages that begin at ``start``.
+
+    Places of one shingle that are less than ``t`` apart are one row.  A passage of k different shingles is open to nobody
+    if more than ``most[k]`` of them are of level 0, which no other text has.
+    """
+    h = (mix(own + _seed(0)) >> _U(4)) | (level.astype(np.uint64) << _U(60))
+    before = places_before(own)
     none, top = len(own), np.iinfo(np.uint64).max
     low, high, first, last = np.full(none, none), np.full(none, -1), np.full(none, none), np.full(none, -1)
     windows, earlier = (np.lib.stride_tricks.sliding_window_view(x, t) for x in (h, before))
@@ -279,7 +317,10 @@ def prefixes(own: np.ndarray, level: np.ndarray, start: np.ndarray, is_open: np.
         x[earlier[s] >= s[:, None]] = top  # a shingle counts once in a passage
         bound = np.partition(x, size - 1, axis=1)[:, size - 1 :][:, :1]
         row, k = np.nonzero((x <= bound) & (x < top))
-        own_open = is_open[i : i + step][row]
+        hopeful = is_open[i : i + step]
+        if most is not None:
+            hopeful = hopeful & ((x >> _U(60) == 0).sum(axis=1) <= most[(x < top).sum(axis=1)])
+        own_open = hopeful[row]
         begin, at = s[row], s[row] + k
         np.minimum.at(low, at, begin)
         np.maximum.at(high, at, begin)
@@ -334,7 +375,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, n: int = 5, num: int
     heads = map_texts(texts, _emit(n, t, True), schema).groupBy("key")
     heads = heads.agg(F.min("doc").alias("kept"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("k_place"), F.min_by("extent", "doc").alias("k_extent"), F.count("*").alias("docs"))
     shared = materialize(heads.filter("kept < last").drop("last"), "signatures")
-    met = materialize(map_texts(texts, _emit(n, t, False), schema).join(shared, "key"), "met")
+    # windows that surely meet nobody are not shuffled again
+    keep = id_filter(shared.select(F.col("key").alias("doc_id")))
+    met = materialize(map_texts(texts, _emit(n, t, False, keep), schema).join(shared, "key"), "met")
 
     lined = met.filter("doc > kept").select("doc", "kept", *_lined(F.col("place"), F.col("extent"), F.col("k_place"), F.col("k_extent")))
     found = materialize(_verified(texts, _pieces(lined), n, t, num, den), "found")
@@ -380,29 +423,36 @@ def _later(texts: DataFrame, crowded: DataFrame, found: DataFrame, n: int, t: in
         return found
     own = materialize(_of_ids(texts, listed.select("doc_id")).join(listed, "doc_id"), "texts")
 
-    held = materialize(map_texts(own, _held(n, t), "shingle long, doc long").distinct(), "held")
-    level = F.least(F.lit(15), F.greatest(F.lit(1), F.ceil(F.log("docs") / float(np.log(max(2, SMALL)))) - 1)).cast("long")
-    common = held.groupBy("shingle").agg(F.count("*").alias("docs")).filter(F.col("docs") > SMALL).withColumn("level", level)
-    marks = held.join(common.select("shingle", "level"), "shingle").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("shingle", "level")).alias("common"))
-    windows = map_texts(own.join(marks, "doc_id", "left").select("doc_id", "text", "starts", "common"), _anew(n, t, t - least + 1), PREFIXES)
+    # levels: 0 for a shingle of one text, 1 for up to SMALL texts, above them one more for each SMALL times as many
+    held = materialize(map_texts(own, _held(n, t), "shingle long, doc long"), "held")
+    more = F.greatest(F.lit(1), F.ceil(F.log("texts") / float(np.log(max(2, SMALL)))) - 1)
+    level = F.when(F.col("texts") <= SMALL, F.lit(1)).otherwise(F.least(F.lit(15), 1 + more)).cast("long")
+    shared = held.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1").withColumn("level", level)
+    marks = held.join(shared.select("shingle", "level"), "shingle").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("shingle", "level")).alias("marks"))
+    windows = map_texts(own.join(marks, "doc_id").select("doc_id", "text", "starts", "marks"), _anew(n, t, t - least + 1, np.arange(t + 1) * (den - num) // den), PREFIXES)
     windows = materialize(windows, "windows")
-    wanted = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("last") >= 0, F.col("doc"))).alias("top"), F.count("*").alias("rows")).filter("top > least")
+    wanted = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("last") >= 0, F.col("doc"))).alias("top")).filter("top > least")
     windows = materialize(windows.join(wanted.drop("top"), "key"), "windows")
 
     own = own.select("doc_id", "text")
-    other = lambda rows: rows.select("key", F.col("doc").alias("kept"), F.col("place").alias("k_place"), F.col("low").alias("k_low"), F.col("high").alias("k_high"))
+    other_columns = ["key", F.col("doc").alias("kept"), F.col("place").alias("k_place"), F.col("low").alias("k_low"), F.col("high").alias("k_high")]
+    other = lambda rows: rows.select(*other_columns)
     line = lambda rows: rows.filter("kept < doc").select("doc", "kept", "low", "high", F.expr("k_place - place").alias("shift"), F.expr("k_low - low").alias("s0"), F.expr("k_high - high").alias("s1"))
     pending = windows.filter("last >= 0 and doc > least")
-    members = windows.filter("common")
     rare = pending.filter("not common").join(other(windows.filter("not common")), "key")  # at most SMALL documents hold the shingle
-    pending = pending.filter("common")
-    part = materialize(_verified(own, _pieces(line(rare).unionByName(line(pending.join(other(members.filter("doc = least")), "key")))), n, t, num, den), "found")
+    # the first document's one of equal windows stands for all: others share as much with it, and word for word copies settle each other
+    alike = windows.filter("common").groupBy("key", "same", "least").agg(F.min(F.struct("doc", "place", "low", "high")).alias("first"))
+    alike = materialize(alike.select("key", "same", "least", "first.*"), "alike")
+    members = alike.join(alike.groupBy("key").agg(F.count("*").alias("rows")), "key")
+    pending = pending.filter("common").join(members.select("same", "rows", *other_columns), ["key", "same"])
+    copies, pending = pending.filter("kept < doc"), pending.drop("kept", "k_place", "k_low", "k_high")
+    part = materialize(_verified(own, _pieces(line(rare).unionByName(line(copies)).unionByName(line(pending.join(other(members.filter("doc = least")), "key")))), n, t, num, den), "found")
     found, parts = found.unionByName(part), 1
     before = members.filter("doc = least").select("key", "doc").distinct()  # whom all pending ones have met
     pending = _unsettled(pending, F.col("first"), F.col("last"), part, n, t, least)
     while not (pending := materialize(pending.filter(F.col("rows") > parts), "pending")).isEmpty():
         parts *= 4
-        # the first documents of 4, 16, ... parts of a group, at last all of its documents
+        # the first documents of 4, 16, ... parts of a group, at last all of its unlike windows
         firsts = members.filter(F.col("rows") > parts).groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("by")).agg(F.min("doc").alias("doc")).drop("by")
         one = members.join(firsts, ["key", "doc"], "left_semi").unionByName(members.filter(F.col("rows") <= parts)).join(before, ["key", "doc"], "left_anti")
         before = firsts
@@ -507,7 +557,8 @@ def shared_passages(own: np.ndarray, low: int, high: int, kept: np.ndarray, t: i
     """(first, last, kept first, kept last, similarity) of the passages that ``own[low..high]`` shares with ``kept``.
 
     The longest stretch at the asked similarity is tried first, then denser ones down to
-    unbroken runs; what is left on both sides of a found passage is searched again.
+    unbroken runs, at last the least passages with most hits; what is left on both sides of a
+    found passage is searched again.
     """
     found, todo = [], [(max(0, low - t), min(len(own), high + t + 1))]
     # of either of two stretches with J >= num/den, a share of num/den are hits; of one length, 2 num / (num + den)
@@ -519,10 +570,10 @@ def shared_passages(own: np.ndarray, low: int, high: int, kept: np.ndarray, t: i
         if len(part) < t or len(kept) < t * num // den:
             continue
         hit = _held_by(part, every)
-        for miss in (loosest, even, 4 * even, len(part)):
-            a, b = longest(hit, miss)
+        tries = (loosest, even, 4 * even, len(part))
+        for miss, (a, b) in itertools.chain(((m, longest(hit, m)) for m in tries), _densest(hit, t, t * num // den, tries)):
             if b - a + 1 < t:
-                break
+                continue
             left = _distinct(part[a : b + 1])
             x, y = longest(_held_by(kept, left), miss)
             right = _distinct(kept[x : y + 1])
@@ -533,3 +584,15 @@ def shared_passages(own: np.ndarray, low: int, high: int, kept: np.ndarray, t: i
                 todo += [(begin, begin + a), (begin + b + 1, end)]
                 break
     return found
+
+
+def _densest(hit: np.ndarray, t: int, fewest: int, tries: tuple[int, ...]) -> Iterator[tuple[int, tuple[int, int]]]:
+    """The first and the last one of the stretches of ``t`` with most hits, for each of ``tries``; none with fewer than ``fewest``."""
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    hits = sums[t:] - sums[:-t]
+    most = int(hits.max(initial=0))
+    if fewest <= most < t:
+        best = np.flatnonzero(hits == most)
+        for a in sorted({int(best[0]), int(best[-1])}):
+            for miss in tries:
+                yield miss, (a, a + t - 1)
