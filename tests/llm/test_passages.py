@@ -400,3 +400,44 @@ def test_contents_by_hand():
     x = np.concatenate(text)
     some = contents(x, (x > 100).astype(np.int64), np.array([0, 5, 20, 20]), np.array([4, 9, 24, 23]))
     assert some[0] == some[1] == value[0] and int(some[2]) == value[4] and some[3] != some[2]
+
+
+def test_windows_that_a_keeper_has_word_for_word_are_not_listed(spark, monkeypatch):
+    """Copies of a passage are met in its first document; passages across its end are open and list the group."""
+    from wayfold.llm import substring_dedup
+
+    rows, write = {}, substring_dedup.materialize
+
+    def counted(df, name, *args, **kwargs):
+        made = write(df, name, *args, **kwargs)
+        rows[name] = rows.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    r = random.Random(67)
+    passage, copies, tails = prose(r, 70, 10**6), 60, 8
+    texts = [passage] * copies + [passage + prose(r, 40, 10**6) for _ in range(tails)]
+    got = repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["kept_doc_id"]) for x in got} == {(d, 0) for d in range(1, copies + tails)}
+    assert rows["listed"] <= 1 + tails
+
+
+def test_near_copy_of_a_passage_that_later_documents_have_word_for_word(spark):
+    """The near copy's first partners hold halves only; of the whole passages only the first one is listed."""
+    r, docs, want = random.Random(71), [], set()
+    for _ in range(8):
+        texts = halves_then_copies(r, [None, None, None, 30])
+        for k, w in enumerate(texts):
+            docs.append((len(docs), " ".join(w)))
+            if k >= 17:
+                want.add(docs[-1][0])
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in rows} == want
+
+
+def test_stands_in():
+    from wayfold.llm.substring_dedup import stands_in
+
+    whole = np.array([3, 1, 2, 3, 1, 4], np.uint64)
+    assert stands_in(whole[3:], whole) and stands_in(whole[:2], whole) and stands_in(whole, whole)
+    assert not stands_in(np.array([1, 3], np.uint64), whole) and not stands_in(np.append(whole, whole[:1]), whole)

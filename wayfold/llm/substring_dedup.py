@@ -15,14 +15,15 @@ of nodes that some passage of ``t`` shingles holds.
 3. The first document of a group need not hold the passage that later ones share, or not at its
    first place.  A passage of ``t`` shingles is *settled* when all but ``unlike`` of them lie in one
    verified passage.  Windows with passages that are not, in groups of three documents or more or whose first
-   document has several windows of the signature, are listed, and with them all windows of their
-   groups.  Two passages of ``t`` shingles that share all but ``unlike`` of them have one of their
+   document has several windows of the signature, are listed, and with them the windows of their
+   groups, but for passages that a verified keeper has word for word: its own window has the same
+   signature and stands for them.  Two passages of ``t`` shingles that share all but ``unlike`` of them have one of their
    ``unlike + 1`` least shingles in common, under any order (prefix filter); here shingles of one
-   text come first, which meet nobody, then those that few listed texts hold (in steps of ``SMALL``
+   text or of no open passage come first, which meet nobody, then those that few listed texts hold (in steps of ``SMALL``
    times), so that a common line only counts where next to nothing rarer stands beside it.  A shingle
    of at most ``SMALL`` texts brings all of them together.  Of one that more hold, windows that are
-   equal but for shingles that nobody else has are one class, for which its first document stands:
-   a third text shares as much with each of them.  Open passages meet the first documents of their
+   equal but for such shingles are one class, for which its first document stands: a third text's
+   open passage shares as much with each of them.  Open passages meet the first documents of their
    own class and of the group, then the first ones of 4, 16 and more parts of the classes, until they
    are settled or have met every class; no number bounds a group.  One link that the order before
    found is known to be left out (README).
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import buffers, mix, runs, shingles, words
 from .jaccard import id_filter
-from .scratch import map_texts, materialize
+from .scratch import TEXT_BYTES, map_texts, materialize
 
 #: Signatures of two hash functions each.
 BANDS = 3
@@ -151,6 +152,18 @@ def _rows(column: pa.Array, n: int):
         yield a, b, shingle, s_off, counts
 
 
+def _each(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, shingles) of texts, or of the shingles that ``_of_ids`` stored for them."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        data, off = buffers(column)
+        for i in range(len(column)):
+            yield i, data[off[i] : off[i + 1]].view(np.uint64)
+        return
+    for a, b, value, off, counts in _rows(column, n):
+        for i in range(a, b):
+            yield i, value[off[i - a] : off[i - a + 1]] if counts[i - a] >= n else value[:0]
+
+
 def _emit(n: int, t: int, heads: bool, keep: Callable[[pa.Array], pa.Array] | None = None):
     """Windows ``key, doc, place, extent`` (first and last shingle); as ``heads`` only a text's first window of each signature, with ``keep`` only those whose key passes."""
     if t >= 1 << _DIST:
@@ -178,19 +191,20 @@ def _emit(n: int, t: int, heads: bool, keep: Callable[[pa.Array], pa.Array] | No
 
 
 def _starts(t: int, least: int):
-    """``doc_id, starts``: runs ``a, b, open`` of starts of passages in listed windows; open are those of open windows that no verified passage settles."""
+    """``doc_id, starts``: runs ``a, b, open`` of starts of passages in listed windows, but of those that a keeper has word for word; open are those of open windows that no verified passage settles."""
 
     def run(batches):
         for batch in batches:
             docs, found = [], []
             for doc, rows, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 begin, end, is_open = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                end, done = end - t + 2, np.empty((2, 0), np.int64)
+                end, done, copied = end - t + 2, np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)
                 if spans.is_valid:
                     done = np.stack([spans.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)])
+                    copied = done[:, spans.values.field(2).to_numpy(zero_copy_only=False).astype(bool)] + [[0], [2 - t]]
                     done = done[:, done[1] - done[0] + 1 >= least] + [[least - t], [2 - least]]
-                edge = np.unique(np.concatenate([begin, end, *done]))
-                held = _depth(edge, begin, end) > 0
+                edge = np.unique(np.concatenate([begin, end, *done, *copied]))
+                held = (_depth(edge, begin, end) > 0) & (_depth(edge, *copied) == 0)
                 opened = (_depth(edge, begin[is_open], end[is_open]) > 0) & (_depth(edge, *done) == 0)
                 at = np.flatnonzero(held[:-1])
                 docs.append(doc)
@@ -214,23 +228,24 @@ def _chosen(rows: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return _depth(every, a, b)[:size] > 0, _depth(every, a[own], b[own])[:size] > 0
 
 
-def _held(n: int, t: int):
-    """``shingle, doc``: the distinct shingles of the passages that a document's listed windows hold."""
+def _held(n: int, t: int, keep: Callable[[pa.Array], pa.Array] | None = None):
+    """``shingle, doc``: the distinct shingles of the passages that a document's listed windows hold and ``keep`` passes; without ``keep`` those of the open passages."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, b, value, off, _ in _rows(batch.column(1), n):
-                for i in range(a, b):
-                    own = value[off[i - a] : off[i - a + 1]]
-                    if len(own) < t:
-                        continue
-                    starts, _ = _chosen(batch.column(2)[i].values, len(own) - t + 1)
-                    step = np.zeros(len(own) + 1, np.int64)
-                    step[: len(starts)] += starts
-                    step[t : t + len(starts)] -= starts
-                    found = np.unique(own[np.cumsum(step)[:-1] > 0])
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), ids[i], np.int64))], ["shingle", "doc"])
+            ids, docs, held = batch.column(0).to_pylist(), [], []
+            for i, own in _each(batch.column(1), n):
+                if len(own) < t:
+                    continue
+                starts = _chosen(batch.column(2)[i].values, len(own) - t + 1)[0 if keep else 1]
+                step = np.zeros(len(own) + 1, np.int64)
+                step[: len(starts)] += starts
+                step[t : t + len(starts)] -= starts
+                held.append(np.unique(own[np.cumsum(step)[:-1] > 0]))
+                docs.append(np.full(len(held[-1]), ids[i], np.int64))
+            if held:
+                found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(docs))], ["shingle", "doc"])
+                yield found.filter(keep(found.column(0))) if keep else found
 
     return run
 
@@ -241,26 +256,24 @@ def _anew(n: int, t: int, size: int, most: np.ndarray):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a, b, value, off, _ in _rows(batch.column(1), n):
-                for i in range(a, b):
-                    own = value[off[i - a] : off[i - a + 1]]
-                    if len(own) < t:
-                        continue
-                    starts, is_open = _chosen(batch.column(2)[i].values, len(own) - t + 1)
-                    marks = batch.column(3)[i].values
-                    known = marks.field(0).to_numpy().view(np.uint64)
-                    order = np.argsort(known)
-                    at = order[np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)]
-                    level = np.where(known[at] == own, marks.field(1).to_numpy()[at], 0)
-                    start = np.flatnonzero(starts)
-                    if len(start):
-                        place, *columns = prefixes(own, level, start, is_open[start], t, size, most)
-                        shared = level[place] > 0
-                        place, columns = place[shared], [c[shared] for c in columns]
-                        often, same = level[place] > 1, np.zeros(len(place), np.uint64)
-                        same[often] = contents(own, level, columns[0][often], columns[1][often])
-                        arrays = [own[place].view(np.int64), np.full(len(place), ids[i], np.int64), place, *columns, often, same.view(np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["key", "doc", "place", "low", "high", "first", "last", "common", "same"])
+            for i, own in _each(batch.column(1), n):
+                if len(own) < t:
+                    continue
+                starts, is_open = _chosen(batch.column(2)[i].values, len(own) - t + 1)
+                marks = batch.column(3)[i].values
+                known = marks.field(0).to_numpy().view(np.uint64)
+                order = np.argsort(known)
+                at = order[np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)]
+                level = np.where(known[at] == own, marks.field(1).to_numpy()[at], 0)
+                start = np.flatnonzero(starts)
+                if len(start):
+                    place, *columns = prefixes(own, level, start, is_open[start], t, size, most)
+                    shared = level[place] > 0
+                    place, columns = place[shared], [c[shared] for c in columns]
+                    often, same = level[place] > 1, np.zeros(len(place), np.uint64)
+                    same[often] = contents(own, level, columns[0][often], columns[1][often])
+                    arrays = [own[place].view(np.int64), np.full(len(place), ids[i], np.int64), place, *columns, often, same.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["key", "doc", "place", "low", "high", "first", "last", "common", "same"])
 
     return run
 
@@ -282,8 +295,8 @@ def places_before(own: np.ndarray) -> np.ndarray:
 def contents(own: np.ndarray, level: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """One value for each stretch ``low`` to ``high``: equal for equal shingles in equal order.
 
-    Shingles of level 0, which no other text has, count as equal where they are new in the stretch, and where they are not:
-    any third text shares as much with the one stretch as with the other.
+    Shingles of level 0, which no other text or no open passage has, count as equal where they are new in the stretch, and where
+    they are not: any third text's open passage shares as much with the one stretch as with the other.
     """
     before = places_before(own)
     out = np.empty(len(low), np.uint64)
@@ -390,14 +403,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, n: int = 5, num: int
 
 
 def _spans(found: DataFrame, n: int) -> DataFrame:
-    return found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("last_word") - n + 1).alias("b"))).alias("spans"))
+    return found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("last_word") - n + 1).alias("b"), "verbatim")).alias("spans"))
 
 
-def _unsettled(rows: DataFrame, first: Column, last: Column, found: DataFrame, n: int, t: int, least: int) -> DataFrame:
-    """Rows of passages with starts ``first`` to ``last`` that no passage of ``found`` settles: it holds ``least`` of the shingles of each."""
+def _settled(first: Column, last: Column, t: int, least: int) -> Column:
+    """Whether one of ``spans`` holds ``least`` of the shingles of each passage with a start from ``first`` to ``last``."""
     holds = lambda s, x: F.least(s["b"], x + (t - 1)) - F.greatest(s["a"], x) + 1 >= least
-    settled = F.exists("spans", lambda s: holds(s, first) & holds(s, last))
-    return rows.join(_spans(found, n), "doc", "left").filter(~F.coalesce(settled, F.lit(False))).drop("spans")
+    return F.coalesce(F.exists("spans", lambda s: holds(s, first) & holds(s, last)), F.lit(False))
+
+
+def _unsettled(rows: DataFrame, first: Column, last: Column, found: DataFrame, n: int, t: int, least: int) -> DataFrame:
+    """Rows of passages with starts ``first`` to ``last`` that no passage of ``found`` settles."""
+    return rows.join(_spans(found, n), "doc", "left").filter(~_settled(first, last, t, least)).drop("spans")
 
 
 def unlike(n: int, t: int, num: int, den: int) -> int:
@@ -412,29 +429,34 @@ def unlike(n: int, t: int, num: int, den: int) -> int:
 def _later(texts: DataFrame, crowded: DataFrame, found: DataFrame, n: int, t: int, num: int, den: int) -> DataFrame:
     """``found`` and the passages that it leaves open, against all other members of their groups."""
     least = t - unlike(n, t, num, den)
-    left = _unsettled(crowded.filter("doc > kept"), F.col("low"), F.col("high") - (t - 1), found, n, t, least)
-    left = materialize(left.select("key", "doc", "low", "high"), "open")
+    # what its keeper has word for word is met there: the keeper's window has the same signature
+    copied = F.exists("spans", lambda s: s["verbatim"] & (s["a"] <= F.col("low")) & (s["b"] >= F.col("high")))
+    is_open = (F.col("doc") > F.col("kept")) & ~_settled(F.col("low"), F.col("high") - (t - 1), t, least)
+    crowded = crowded.join(_spans(found, n), "doc", "left").filter(~F.coalesce(copied, F.lit(False)))
+    crowded = materialize(crowded.select("key", "doc", "low", "high", is_open.alias("open")), "crowded")
+    left = crowded.filter("open")
     if left.isEmpty():
         return found
-    groups = crowded.join(left.select("key").distinct(), "key", "left_semi").select("doc", "low", "high", F.lit(False).alias("open"))
-    listed = groups.unionByName(left.select("doc", "low", "high", F.lit(True).alias("open"))).groupBy("doc").agg(F.collect_set(F.struct("low", "high", "open")).alias("rows"))
-    listed = materialize(map_texts(listed.join(_spans(found, n), "doc", "left").select("doc", "rows", "spans"), _starts(t, least), "doc_id long, starts array<struct<a: long, b: long, open: boolean>>"), "listed")
+    groups = crowded.join(left.select("key").distinct(), "key", "left_semi").select("doc", "low", "high", "open")
+    listed = groups.groupBy("doc").agg(F.collect_set(F.struct("low", "high", "open")).alias("rows"))
+    listed = materialize(map_texts(listed.join(_spans(found, n), "doc", "left").select("doc", "rows", "spans"), _starts(t, least), "doc_id long, starts array<struct<a: long, b: long, open: boolean>>").filter(F.size("starts") > 0), "listed")
     if listed.filter(F.exists("starts", lambda x: x["open"])).isEmpty():
         return found
-    own = materialize(_of_ids(texts, listed.select("doc_id")).join(listed, "doc_id"), "texts")
+    own = materialize(_of_ids(texts, listed.select("doc_id"), n).join(listed, "doc_id"), "shingles")
 
-    # levels: 0 for a shingle of one text, 1 for up to SMALL texts, above them one more for each SMALL times as many
-    held = materialize(map_texts(own, _held(n, t), "shingle long, doc long"), "held")
+    # levels: 0 for a shingle of one text or of no open passage, 1 for up to SMALL texts, above them one more for each SMALL times as many
+    sought = materialize(map_texts(own.filter(F.exists("starts", lambda x: x["open"])), _held(n, t), "shingle long, doc long").select(F.col("shingle").alias("doc_id")), "sought")
+    held = materialize(map_texts(own, _held(n, t, id_filter(sought)), "shingle long, doc long"), "held")
     more = F.greatest(F.lit(1), F.ceil(F.log("texts") / float(np.log(max(2, SMALL)))) - 1)
     level = F.when(F.col("texts") <= SMALL, F.lit(1)).otherwise(F.least(F.lit(15), 1 + more)).cast("long")
     shared = held.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1").withColumn("level", level)
     marks = held.join(shared.select("shingle", "level"), "shingle").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("shingle", "level")).alias("marks"))
-    windows = map_texts(own.join(marks, "doc_id").select("doc_id", "text", "starts", "marks"), _anew(n, t, t - least + 1, np.arange(t + 1) * (den - num) // den), PREFIXES)
+    windows = map_texts(own.join(marks, "doc_id").select("doc_id", "shingles", "starts", "marks"), _anew(n, t, t - least + 1, np.arange(t + 1) * (den - num) // den), PREFIXES)
     windows = materialize(windows, "windows")
     wanted = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max(F.when(F.col("last") >= 0, F.col("doc"))).alias("top")).filter("top > least")
     windows = materialize(windows.join(wanted.drop("top"), "key"), "windows")
 
-    own = own.select("doc_id", "text")
+    own = own.select("doc_id", "shingles")
     other_columns = ["key", F.col("doc").alias("kept"), F.col("place").alias("k_place"), F.col("low").alias("k_low"), F.col("high").alias("k_high")]
     other = lambda rows: rows.select(*other_columns)
     line = lambda rows: rows.filter("kept < doc").select("doc", "kept", "low", "high", F.expr("k_place - place").alias("shift"), F.expr("k_low - low").alias("s0"), F.expr("k_high - high").alias("s1"))
@@ -480,23 +502,21 @@ def _verified(texts: DataFrame, pieces: DataFrame, n: int, t: int, num: int, den
         for batch in batches:
             ids, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out: list[tuple] = []
-            for a, b, value, off, counts in _rows(batch.column(1), n):
-                for i in range(a, b):
-                    own = value[off[i - a] : off[i - a + 1]] if counts[i - a] >= n else value[:0]
-                    for q in asked[i]:
-                        begin = max(0, q["low"] - t)
-                        body = own[begin : q["high"] + t + 1]
-                        if len(body):
-                            out.append((ids[i], begin, q["kept"], q["k_low"], q["k_high"], body.tobytes()))
-                    if len(out) >= 256:
-                        yield _stretches(out)
-                        out = []
+            for i, own in _each(batch.column(1), n):
+                for q in asked[i]:
+                    begin = max(0, q["low"] - t)
+                    body = own[begin : q["high"] + t + 1]
+                    if len(body):
+                        out.append((ids[i], begin, q["kept"], q["k_low"], q["k_high"], body.tobytes()))
+                if len(out) >= 256:
+                    yield _stretches(out)
+                    out = []
             yield _stretches(out)
 
     def ask(rows: DataFrame, who: str) -> DataFrame:
         wanted = rows.groupBy(F.col(who).alias("doc_id")).agg(F.collect_list(F.struct("low", "high", "kept", "k_low", "k_high")).alias("asked"))
         chosen = _of_ids(texts, materialize(rows.select(F.col(who).alias("doc_id")).distinct(), "chosen", narrow=True))
-        return map_texts(chosen.join(wanted, "doc_id").select("doc_id", "text", "asked"), cut, "doc long, begin long, kept long, k_low long, k_high long, body binary")
+        return map_texts(chosen.join(wanted, "doc_id").select(*texts.columns, "asked"), cut, "doc long, begin long, kept long, k_low long, k_high long, body binary")
 
     # a keeper's stretch is cut once, however many documents ask for it
     kept = pieces.select("kept", "k_low", "k_high").distinct().select("kept", (F.col("k_low") + t).alias("low"), (F.col("k_high") - t).alias("high"), "k_low", "k_high")
@@ -511,10 +531,12 @@ def _verified(texts: DataFrame, pieces: DataFrame, n: int, t: int, num: int, den
             for i in range(batch.num_rows):
                 own, kept = body[off[i] : off[i + 1]].view(np.uint64), k_body[k_off[i] : k_off[i + 1]].view(np.uint64)
                 for x, y, kx, ky, sim in shared_passages(own, 0, len(own) - 1, kept, t, num, den):
-                    found.append((doc[i], begin[i] + x, begin[i] + y + n - 1, keeper[i], k_begin[i] + kx, k_begin[i] + ky + n - 1, sim))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.float64() if k == 6 else pa.int64()) for k in range(7)], ["doc_id", "first_word", "last_word", "kept_doc_id", "kept_first_word", "kept_last_word", "similarity"])
+                    verbatim = sim == 1 and stands_in(own[x : y + 1], kept)
+                    found.append((doc[i], begin[i] + x, begin[i] + y + n - 1, keeper[i], k_begin[i] + kx, k_begin[i] + ky + n - 1, sim, verbatim))
+            kinds = [pa.int64()] * 6 + [pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["doc_id", "first_word", "last_word", "kept_doc_id", "kept_first_word", "kept_last_word", "similarity", "verbatim"])
 
-    schema = "doc_id long, first_word long, last_word long, kept_doc_id long, kept_first_word long, kept_last_word long, similarity double"
+    schema = "doc_id long, first_word long, last_word long, kept_doc_id long, kept_first_word long, kept_last_word long, similarity double, verbatim boolean"
     return map_texts(both.select("doc", "begin", "kept", "k_begin", "body", "k_body"), verify, schema)
 
 
@@ -522,14 +544,27 @@ def _stretches(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 5 else pa.int64()) for k in range(6)], ["doc", "begin", "kept", "k_low", "k_high", "body"])
 
 
-def _of_ids(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+def _of_ids(texts: DataFrame, chosen: DataFrame, n: int = 0) -> DataFrame:
+    """The chosen documents' rows; with ``n`` their texts' shingles in place of the texts, which are not valued again."""
     keep = id_filter(chosen)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(keep(batch.column(0)))
+            batch = batch.filter(keep(batch.column(0)))
+            if not n:
+                yield batch
+                continue
+            ids, docs, held, size = batch.column(0).to_numpy(), [], [], 0
+            for i, own in _each(batch.column(1), n):
+                docs.append(ids[i])
+                held.append(own.tobytes())
+                size += len(held[-1])
+                if size >= TEXT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "shingles"])
+                    docs, held, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "shingles"])
 
-    return map_texts(texts, run, "doc_id long, text string")
+    return map_texts(texts, run, "doc_id long, shingles binary" if n else "doc_id long, {} {}".format(*texts.dtypes[1]))
 
 
 def longest(hit: np.ndarray, miss: int) -> tuple[int, int]:
@@ -542,6 +577,12 @@ def longest(hit: np.ndarray, miss: int) -> tuple[int, int]:
     return (start + int(inside[0]), start + int(inside[-1])) if len(inside) else (0, -1)
 
 
+def stands_in(part: np.ndarray, whole: np.ndarray) -> bool:
+    """Whether ``whole`` has ``part`` in one piece."""
+    at = np.flatnonzero(whole[: max(0, len(whole) - len(part) + 1)] == part[0])
+    return any(np.array_equal(whole[i : i + len(part)], part) for i in at.tolist())
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
