@@ -73,16 +73,18 @@ class PbfReader(DataSourceReader):
         system, _ = _system(self.base)
         for path in list_files(self.path):
             spans: list[tuple[int, int]] = []
+            held = 0
             with system.open_input_file(path) as f:
                 for kind, at, size in blob_headers(f):
                     if kind == "OSMHeader":
                         f.seek(at)
                         header_features(inflate(f.read(size)))
                     elif kind == "OSMData":
-                        if spans and sum(s for _, s in spans) + size > self.split:
+                        if spans and held + size > self.split:
                             parts.append(Blobs(path, spans))
-                            spans = []
+                            spans, held = [], 0
                         spans.append((at, size))
+                        held += size
             if spans:
                 parts.append(Blobs(path, spans))
         return parts or [Blobs("", [])]
@@ -95,14 +97,10 @@ class PbfReader(DataSourceReader):
         with system.open_input_file(partition.path) as f:
             for at, size in partition.spans:
                 f.seek(at)
-                rows = []
-                for row in Block(inflate(f.read(size))).rows(self.kind):
-                    rows.append(row)
-                    if len(rows) >= BATCH:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                for columns in Block(inflate(f.read(size))).columns(self.kind):
+                    found = pa.RecordBatch.from_arrays([columns[c.name].cast(c.type) for c in schema], schema=schema)
+                    for start in range(0, found.num_rows, BATCH):
+                        yield found.slice(start, BATCH)
 
 
 def _arrow(kind: str) -> pa.Schema:
@@ -173,16 +171,9 @@ def blob_counts(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 with _system(base)[0].open_input_file(row["path"]) as f:
                     f.seek(row["at"])
-                    block = Block(inflate(f.read(row["size"])))
-                numbers = {n for g in block.groups for n in _numbers(g)}
-                kinds += [k for k, own in (("nodes", {1, 2}), ("ways", {3}), ("relations", {4})) if own & numbers]
+                    kinds += Block(inflate(f.read(row["size"]))).kinds()
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string())], ["kind"])
 
     places = spark.createDataFrame(spans, "path string, at long, size long") if spans else spark.createDataFrame([], "path string, at long, size long")
     return places.mapInArrow(count, "kind string").groupBy("kind").agg(F.count("*").alias("blocks"))
 
-
-def _numbers(group) -> set[int]:
-    from .wire import fields
-
-    return {n for n, _ in fields(group)}
