@@ -192,3 +192,11 @@ def test_repeated_strings_and_truncated_messages():
     for bad in (body[:-1], body + w.field(8, b"\x80"), body + w.field(2, w.packed([1])), body + w.field(3, w.packed([9, 9, 9]))):
         with pytest.raises((ValueError, IndexError)):
             list(Block(w.field(1, s) + w.field(2, w.field(3, bad))).columns("ways"))
+
+
+def test_kinds_of_a_block():
+    """A group of mixed kinds names them all; the count looks at no element's inside and decodes no strings."""
+    assert Block(w.block([[(3, lambda s: w.way(WAYS[0], s)), (4, lambda s: w.relation(RELATIONS[0], s))], [(2, lambda s: w.dense(NODES[:1], s))]])).kinds() == {"nodes", "ways", "relations"}
+    assert Block(w.block([[(1, lambda s: w.node(NODES[1], s))]])).kinds() == {"nodes"} and Block(b"").kinds() == set()
+    small, large = (block("ways", _elements("ways", n)) for n in (200, 2000))
+    assert _calls(lambda: Block(large).kinds()) <= 2 * _calls(lambda: Block(small).kinds())
